@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm import pieces, shared_spans
+from strandloom.llm import neardup, pieces, shared_spans
 from strandloom.queries.registry import Registry, table
 
 REG = Registry()
@@ -51,3 +51,29 @@ def p5_found(spark, d) -> DataFrame:
 @REG.add("p5_shared_share", _SHARED + "select f.rec_id, coalesce(length(f.b), 0)::bigint as n_bases, coalesce(sum(end_at - start_at), 0)::bigint as n_shared from f left join s using (rec_id) group by 1, 2")
 def p5_shared_share(spark, d) -> DataFrame:
     return shared_spans.shared_share(table(spark, d, "fasta_records"), "rec_id", "seq", _spans(spark, d)).withColumnRenamed("rec_key", "rec_id")
+
+
+def _near(spark, d) -> tuple[DataFrame, DataFrame]:
+    reads = table(spark, d, "fastq_reads").select(F.col("read_id").alias("id"), neardup.oriented(F.col("seq"), F.lit(False)).alias("seq"))
+    reverse = F.coalesce(F.col("flag").bitwiseAND(16) != 0, F.lit(False))
+    alns = table(spark, d, "sam_alignments").select(F.col("aln_id").alias("id"), neardup.oriented(F.col("seq"), reverse).alias("seq"))
+    return neardup.near_duplicates(reads.unionByName(alns), "id", "seq", 0.5)
+
+
+@REG.add(
+    "p3_found",
+    """with r as (select read_id as id, upper(regexp_replace(seq, '\\s', '', 'g')) as s from fastq_reads
+  union select aln_id, case when flag & 16 <> 0 then reverse(translate(upper(regexp_replace(seq, '\\s', '', 'g')), 'ACGT', 'TGCA'))
+  else upper(regexp_replace(seq, '\\s', '', 'g')) end from sam_alignments),
+ w as (select distinct id, s[i:i+7] as word from r, unnest(range(1, length(s) - 6)) as t(i) where s <> '*'),
+ n as (select id, count(*) as n from w group by id),
+ j as (select a.id as id_a, b.id as id_b, count(*) as both from w a join w b on a.word = b.word and a.id < b.id group by 1, 2)
+ select id_a, id_b from j join n x on x.id = id_a join n y on y.id = id_b where 2 * both >= x.n + y.n - both""",
+)
+def p3_found(spark, d) -> DataFrame:
+    return neardup.record_pairs(*_near(spark, d))
+
+
+@REG.add("p3_groups")
+def p3_groups(spark, d) -> DataFrame:
+    return neardup.groups(*_near(spark, d)).withColumnRenamed("rec_key", "id")

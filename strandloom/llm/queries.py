@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm import neardup, pieces, shared_spans
+from strandloom.llm import mixing, neardup, pieces, shared_spans
 from strandloom.queries.registry import Registry, table
+from strandloom.storage import materialise
 
 REG = Registry()
 
@@ -77,3 +78,18 @@ def p3_found(spark, d) -> DataFrame:
 @REG.add("p3_groups")
 def p3_groups(spark, d) -> DataFrame:
     return neardup.groups(*_near(spark, d)).withColumnRenamed("rec_key", "id")
+
+
+def _mixture(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs = materialise(mixing.token_counts(table(spark, d, "documents"), ["doc_id", "source"], "text"), "tokens")
+    return mixing.mix(docs, table(spark, d, "mix_targets"))
+
+
+@REG.add("p8_uses")
+def p8_uses(spark, d) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+@REG.add("p8_shares")
+def p8_shares(spark, d) -> DataFrame:
+    return _mixture(spark, d)[1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm import mixing, neardup, pieces, shared_spans
+from strandloom.llm import mixing, neardup, pieces, sentences, shared_spans
 from strandloom.queries.registry import Registry, table
 from strandloom.storage import materialise
 
@@ -93,3 +93,19 @@ def p8_uses(spark, d) -> DataFrame:
 @REG.add("p8_shares")
 def p8_shares(spark, d) -> DataFrame:
     return _mixture(spark, d)[1]
+
+
+def _sentence_model(docs: DataFrame) -> sentences.Model:
+    return sentences.fit_on(docs, "doc_id", "text", "line_boxes")
+
+
+@REG.add("p9_found")
+def p9_found(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return sentences.sentence_ends(docs, "doc_id", "text", "line_boxes", _sentence_model(docs))
+
+
+@REG.add("p9_sentences")
+def p9_sentences(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return sentences.sentences(docs, "doc_id", "text", "line_boxes", _sentence_model(docs))

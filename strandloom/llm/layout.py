@@ -46,9 +46,9 @@ def _low_median(value: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
 
 def _flat(column: pa.Array, wanted: np.ndarray) -> np.ndarray:
     """Values of the lists whose row is wanted."""
-    column = column if isinstance(column, pa.Array) else column.combine_chunks()
-    off = np.asarray(column.offsets)
-    return column.values.to_numpy(zero_copy_only=False)[np.repeat(wanted, np.diff(off))] if wanted.any() else np.empty(0)
+    off = np.asarray(column.offsets)  # of a slice they don't begin at 0
+    values = column.values[int(off[0]) : int(off[-1])].to_numpy(zero_copy_only=False)
+    return values[np.repeat(wanted, np.diff(off))]
 
 
 def read(texts: list[str | None], x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> Streams:

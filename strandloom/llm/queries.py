@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm import mixing, neardup, pieces, sentences, shared_spans
+from strandloom.llm import leaks, mixing, neardup, pieces, sentences, shared_spans
 from strandloom.queries.registry import Registry, table
 from strandloom.storage import materialise
 
@@ -109,3 +109,17 @@ def p9_found(spark, d) -> DataFrame:
 def p9_sentences(spark, d) -> DataFrame:
     docs = table(spark, d, "documents")
     return sentences.sentences(docs, "doc_id", "text", "line_boxes", _sentence_model(docs))
+
+
+def _leaks(spark, d) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), "doc_id", "text", "line_boxes", table(spark, d, "eval_items"), "item_id", "text")
+
+
+@REG.add("p7_found")
+def p7_found(spark, d) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+@REG.add("p7_coverage")
+def p7_coverage(spark, d) -> DataFrame:
+    return _leaks(spark, d)

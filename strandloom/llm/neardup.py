@@ -14,6 +14,7 @@ up mainly of such words get a signature of all their words besides.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,26 +73,59 @@ def ranks(elements: np.ndarray, registers: int, depth: int) -> tuple[np.ndarray,
     return perm[:, :depth], r
 
 
-def signatures(words: np.ndarray, record: np.ndarray, n_records: int, registers: int, step: int = 12) -> np.ndarray:
+#: Ranks of all words of A, C, G and T are kept by each worker up to this depth.
+DEPTH = 12
+_ALPHABET = b"ACTG"
+
+
+def small_code(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 16-bit code for the words of A, C, G and T, and which words are such."""
+    x = (words >> _U(1)) & _U(0x0303030303030303)  # A, C, T, G are 0, 1, 2, 3
+    y = (x | (x >> _U(6))) & _U(0x000F000F000F000F)
+    y = (y | (y >> _U(12))) & _U(0x000000FF000000FF)
+    y = (y | (y >> _U(24))) & _U(0xFFFF)
+    # the letter that has the code, in each byte at once: A 41, C 43, G 47, T 54
+    low, high = x & _U(0x0101010101010101), (x >> _U(1)) & _U(0x0101010101010101)
+    back = _U(0x4141414141414141) + low * _U(2) + high * _U(0x13) - (low & high) * _U(0x0F)
+    return y.astype(np.int64), back == words
+
+
+@cache
+def _usual_ranks(registers: int) -> tuple[np.ndarray, np.ndarray]:
+    letters = np.frombuffer(_ALPHABET, np.uint8).astype(_U)
+    codes = np.arange(1 << 2 * WORD, dtype=_U)
+    words = np.zeros(len(codes), _U)
+    for i in range(WORD):
+        words |= letters[((codes >> _U(2 * i)) & _U(3)).astype(np.int64)] << _U(8 * i)
+    perm, r = ranks(words, registers, min(DEPTH, registers))
+    return np.ascontiguousarray(perm), r
+
+
+def signatures(words: np.ndarray, record: np.ndarray, n_records: int, registers: int, step: int = 24) -> np.ndarray:
     """SuperMinHash registers of each record from its words (``record`` ascending); each value holds j and r."""
     empty = np.uint32(0xFFFFFFFF)
     sig = np.full(n_records * registers, empty, np.uint32)
-    known, code = np.unique(words, return_inverse=True)
     record = record.astype(np.int64)
-    at = 0
+    code, usual = small_code(words)
+    perm, r = _usual_ranks(registers)
+    if not usual.all():
+        known, other = np.unique(words[~usual], return_inverse=True)
+        code[~usual] = other + len(r)
+        more = ranks(known, registers, min(DEPTH, registers))
+        perm, r = np.concatenate([perm, more[0]]), np.concatenate([r, more[1]])
+    at, depth = 0, min(DEPTH, registers)
     while at < registers and len(code):
-        depth = min(registers, at + step)
         if at:  # few records are left: only their words go on
-            used, code = np.unique(code, return_inverse=True)
-            known = known[used]
-        perm, r = ranks(known, registers, depth)
+            depth = min(registers, at + step)
+            known, code = np.unique(words, return_inverse=True)
+            perm, r = ranks(known, registers, depth)
         for j in range(at, depth):
             place = record * registers + perm[code, j]
             np.minimum.at(sig, place, r[code, j] | np.uint32(j << 24))
             open_ = (sig.reshape(n_records, registers) == empty).any(axis=1)
             live = open_[record]
             if not live.all():
-                record, code = record[live], code[live]
+                record, code, words = record[live], code[live], words[live]
             if not len(code):
                 break
         at = depth
@@ -132,6 +166,19 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
             yield b.slice(i, rows)
 
 
+def _counted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words and how often they occur."""
+    code, usual = small_code(words)
+    n = np.bincount(code[usual], minlength=1 << 2 * WORD)
+    there = np.flatnonzero(n)
+    letters = np.frombuffer(_ALPHABET, np.uint8).astype(_U)
+    w = np.zeros(len(there), _U)
+    for i in range(WORD):
+        w |= letters[(there >> 2 * i) & 3] << _U(8 * i)
+    others, m = np.unique(words[~usual], return_counts=True)
+    return np.r_[w, others], np.r_[n[there], m]
+
+
 def common_words(texts: DataFrame, share: float = COMMON) -> DataFrame:
     """``word``: the packed words that occur ``share`` times the number of rows or more, all rows counted.
 
@@ -141,7 +188,7 @@ def common_words(texts: DataFrame, share: float = COMMON) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n, rows = np.empty(0, _U), np.empty(0, np.int64), 0
         for b in _slices(batches, 20_000):
-            w, c = np.unique(_words_of(b.column(0))[0], return_counts=True)
+            w, c = _counted(_words_of(b.column(0))[0])
             both, at = np.unique(np.r_[words, w], return_inverse=True)
             n = np.bincount(at, np.r_[n, c], len(both)).astype(np.int64)
             words, rows = both, rows + b.num_rows
@@ -163,7 +210,7 @@ def bucket_rows(texts: DataFrame, common: np.ndarray) -> DataFrame:
     frozen = np.sort(common.view(_U))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 3000):
+        for b in _slices(batches, 4000):
             ids = b.column(0).to_numpy()
             words, record, count = _words_of(b.column(1))
             if len(frozen):

@@ -2,6 +2,6 @@
 
 
 def core_registries() -> list:
-    from strandloom.queries import problems
+    from strandloom.queries import functions, operators, problems
 
-    return [problems.REG]
+    return [problems.REG, functions.REG, operators.REG]

@@ -240,7 +240,8 @@ def bucket_rows(texts: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def _pairs_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket and id; a bucket may run on over batches, of which only a few rows are kept."""
+    """Rows come sorted by bucket and the ids' upper bits (one number sorts faster than two), so copies
+    stand together but for ids that differ in their lower bits only; a bucket may run on over batches, of which only a few rows are kept."""
     key = np.empty(0, np.int64)
     ids, rank = key, key
     for b in batches:
@@ -319,7 +320,7 @@ def similar_texts(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     # at most 1 / COMMON times the words of a record: bounded whatever the data
     frozen = np.array([r.word for r in common_words(texts.select("text")).collect()], np.int64)
     buckets = bucket_rows(texts.select("ident", "text"), frozen)
-    placed = buckets.repartition(F.shiftright("slot", 16)).sortWithinPartitions("slot", "rest")
+    placed = buckets.repartition(F.shiftright("slot", 16)).sortWithinPartitions("slot")
     pairs = materialise(placed.mapInArrow(_pairs_in_buckets, "a long, b long").distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("ident")).distinct()
     seqs = texts.join(needed, "ident", "left_semi").groupBy("ident", "h1", "h2").agg(F.min("text").alias("text"))
@@ -338,7 +339,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.5)
     classes. Null, empty and ``*`` texts and null keys are left out; texts shorter than one word are
     members without links. Other columns are ignored. An empty table gives two empty tables.
     """
-    rows = coded(df, key, text)
+    # written once: four passes read it, and forming the texts costs more than reading them
+    rows = materialise(coded(df, key, text), "coded")
     known = rows.select("rec_key", "h1", "h2").distinct()
     least = known.groupBy("h1", "h2").agg(F.min("rec_key").alias("class_id"))
     members = materialise(known.join(least, ["h1", "h2"]), "members")

@@ -166,3 +166,49 @@ def test_fm_index(sampling):
     lo, hi, left = index.range_of(text[100:150], stop=3)
     assert hi - lo <= 3 or left == 0
     assert text[100 + left : 150] in text and len(index.offsets(lo, hi)) == hi - lo
+
+
+def test_tailor():
+    from strandloom.kernels import tailor as tl
+
+    rng = random.Random(8)
+    chroms = [("c1", dna(rng, 800)), ("c2", dna(rng, 500))]
+    genome = tl.Genome(chroms)
+    text = dict(chroms)
+    rc = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    other = lambda c: "ACGT"[("ACGT".index(c) + 1) % 4]
+
+    def run(seq, **o):
+        return tl.map_reads(genome, [("r", seq, "I" * len(seq))], tl.Options(**o))[0]
+
+    for name, at in (("c1", 100), ("c2", 7), ("c1", 775)):
+        w = text[name][at : at + 25]
+        f, r = run(w)
+        assert [(h.chrom, h.begin, h.end) for h in f.hits] == [(name, at, at + 25)] and not r.hits and f.tail == -1
+        f, r = run(rc(w))
+        assert [(h.chrom, h.begin, h.end) for h in r.hits] == [(name, at, at + 25)] and not f.hits
+        after = text[name][at + 25 : at + 26] or "A"
+        tailed = w + other(after) + other(text[name][at + 26 : at + 27] or "A") + "CAC"
+        f, _ = run(tailed)
+        if f.tail >= 0:
+            assert f.tail == 25 and [(h.begin, h.end) for h in f.hits] == [(at, at + 25)]
+            row = tl.sam_rows(f)[0]
+            assert row[3] == at + 1 and row[4] == 255 - 5 and row[5] == "25M5S" and f"TL:Z:{tailed[25:]}" in row[11]
+    w = text["c1"][200:226]
+    miss = w[:22] + other(w[22]) + w[23:]
+    f, _ = run(miss)
+    assert f.tail == -1 and f.hits[0].mismatches == [(22, w[22])] and "MD:Z:22" + w[22] + "3" in tl.sam_rows(f)[0][11]
+    _, r = run(rc(w)[:22] + other(rc(w)[22]) + rc(w)[23:])
+    row = tl.sam_rows(r)[0]
+    assert row[1] == 16 and "MD:Z:3" + w[3] + "22" in row[11] and row[9][3] != w[3]
+    early = w[:5] + other(w[5]) + w[6:]
+    assert not any(m.hits for m in run(early)) and run(early, seed_mismatch=True)[0].hits[0].mismatches == [(5, w[5])]
+    k = next(i for i in range(300, 400) if text["c1"][i + 4] == "T")
+    edited = text["c1"][k : k + 4] + "C" + text["c1"][k + 5 : k + 25]
+    assert not any(m.hits for m in run(edited)) and run(edited, c_to_t=True)[0].hits[0].edits == [4]
+    ext = dna(rng, 3) + text["c2"][300:330]
+    f, _ = run(ext, adapter5=8)
+    assert f.hits[0].end == 330 and 300 - 3 <= f.hits[0].begin <= 300 and f.head == 3 - (300 - f.hits[0].begin)
+    assert not any(m.hits for m in run("ACGT")) and not any(m.hits for m in run(w[:20] + "N"))
+    repeat = tl.Genome([("r", (dna(rng, 30)) * 12)])
+    assert not any(m.hits for m in tl.map_reads(repeat, [("r", "".join("ACGT"[c] for c in repeat.text[:25]), "I" * 25)])[0])

@@ -212,3 +212,63 @@ def test_tailor():
     assert not any(m.hits for m in run("ACGT")) and not any(m.hits for m in run(w[:20] + "N"))
     repeat = tl.Genome([("r", (dna(rng, 30)) * 12)])
     assert not any(m.hits for m in tl.map_reads(repeat, [("r", "".join("ACGT"[c] for c in repeat.text[:25]), "I" * 25)])[0])
+
+
+def test_assembly_and_calling():
+    from strandloom.kernels import assembly, genotyping
+
+    rng = random.Random(9)
+    ref = dna(rng, 300)
+    alt = ref[:140] + ("A" if ref[140] != "A" else "C") + ref[141:170] + ref[175:]
+    reads = [(h[i : i + 100], "I" * 100) for h in (ref, alt) for i in range(0, len(h) - 99, 8)]
+    found = assembly.assemble_haplotypes(reads, ref)
+    assert {ref, alt} <= {h.seq for h in found} and found[0].score >= found[-1].score
+    lik = pairhmm.capped(pairhmm.log10_likelihoods([(s, pairhmm.error_rates(q)) for s, q in reads], [h.seq for h in found]))
+    spans = [(1000 + i, 1000 + i + 100) for h in (ref, alt) for i in range(0, len(h) - 99, 8)]
+    calls = genotyping.call_region(found, spans, lik, ref, 1000, 1000, 1300)
+    snp = next(c for c in calls if c.begin == 1140)
+    assert snp.alleles == [ref[140], alt[140]] and snp.genotype == (0, 1) and snp.gq > 0 and snp.qual >= 30
+    assert any(len(c.alleles[0]) == 6 and len(c.alleles[1]) == 1 for c in calls)
+    none = genotyping.call_region(assembly.assemble_haplotypes(reads[:26], ref), spans[:26], lik[:26], ref, 1000, 1000, 1300)
+    assert none == []
+    assert assembly.assemble_haplotypes([], "ACGT") == [] and assembly.assemble_haplotypes([], ref)[0].seq == ref
+
+
+def test_genotyping_parts():
+    from strandloom.kernels import genotyping as gt
+
+    lik = np.log10(np.array([[0.9, 0.1], [0.8, 0.2]]))
+    want = [np.log10([0.9 * 0.8]).item(), np.log10([0.5 * 0.5]).item(), np.log10([0.1 * 0.2]).item()]
+    assert np.allclose(gt.genotype_likelihoods(lik), want)
+    none, counts, absent = gt.allele_frequencies([-20.0, 0.0, -20.0], ["A", "C"])
+    assert none < -3 and abs(counts[1] - 1) < 0.2 and absent[1] == none
+    assert gt.call(np.array([0.0, -3.0, -9.0]), ["A", "C"], 1, 2) is None
+    assert gt.non_reference_posterior((0.0, -5, -9)) == 0 and gt.non_reference_posterior((-30.0, 0.0, -30.0)) > 0.99
+    assert gt.reference_confidence("AAAA", [30] * 4, "A")[0] > gt.reference_confidence("CCCC", [30] * 4, "A")[0]
+    assert abs(gt._digamma(1.0) + 0.5772156649) < 1e-8
+
+
+def test_trimming():
+    from strandloom.kernels import assembly
+    from strandloom.kernels import trimming as tr
+
+    rng = random.Random(10)
+    a, b = tr.ADAPTERS
+    pairs, inserts = [], []
+    for _ in range(120):
+        insert = dna(rng, rng.randint(40, 140))
+        inserts.append(min(len(insert), 100))
+        pairs.append(((insert + a + dna(rng, 80))[:100], (tr.revcomp(insert) + b + dna(rng, 80))[:100]))
+    got = tr.detect(pairs)
+    n = len(got[0])
+    assert n >= 15 and got == (a[:n], b[:n])
+    ends = [tr.trim_pair((f, "I" * 100), (r, "I" * 100), got)[2] for f, r in pairs]
+    assert sum(abs(x - y) <= 0 for x, y in zip(ends, inserts)) >= 110
+    assert tr.detect([])[0] == a and tr.trim_pair(("", ""), ("", ""), got)[2] == 0
+    head = tr.trim_pair((dna(rng, 5) + a, "I" * 39), (dna(rng, 5) + b, "I" * 39), (a, b))
+    assert head[2] == 5 and tr.trim_pair((dna(rng, 5) + a, "I" * 39), (dna(rng, 5) + b, "I" * 39), (a, b), tr.Options(least_read=10))[2] == 0
+    with pytest.raises(ValueError):
+        tr.Options(tail_match=2)
+    body = dna(rng, 30)
+    assert tr.single_end(body + a, a) == 30 and tr.single_end(body + a[:8], a) == 30 and tr.single_end(body + a[:10] + "G" + a[11:], a) == 30
+    assert tr.single_end("", a) == 0 and assembly.assemble_adapter([]) == "" and assembly.low_complexity("AAAAAAAC")

@@ -272,3 +272,35 @@ def test_trimming():
     body = dna(rng, 30)
     assert tr.single_end(body + a, a) == 30 and tr.single_end(body + a[:8], a) == 30 and tr.single_end(body + a[:10] + "G" + a[11:], a) == 30
     assert tr.single_end("", a) == 0 and assembly.assemble_adapter([]) == "" and assembly.low_complexity("AAAAAAAC")
+
+
+def test_aligner():
+    from strandloom.kernels import aligner
+
+    rng = random.Random(12)
+    genome = aligner.Genome([("c1", dna(rng, 6000)), ("c2", dna(rng, 4000))])
+    text = {"c1": genome.seq[:6000], "c2": genome.seq[6000:]}
+    pairs, want = [], []
+    for n in range(40):
+        c = rng.choice(["c1", "c2"])
+        at, insert = rng.randint(0, len(text[c]) - 700), rng.randint(300, 650)
+        piece = text[c][at : at + insert]
+        f, r = piece[:100], aligner.revcomp(piece[-100:])
+        if n % 3 == 0:
+            f = f[:50] + ("A" if f[50] != "A" else "C") + f[51:]
+        if n % 4 == 0:
+            f = f[:60] + f[62:]
+        if n % 5 == 0:
+            f, r = r, f
+        pairs.append(((f"q{n}", f, "I" * len(f)), (f"q{n}", r, "I" * len(r))))
+        want.append((c, at, at + insert - 100, n % 5 == 0))
+    pairs.append((("u", dna(rng, 100), "I" * 100), ("u", "N" * 100, "I" * 100)))
+    rows = aligner.map_pairs(genome, pairs)
+    for (a, b), (c, lo, hi, turned) in zip(rows, want):
+        first, second = (b, a) if turned else (a, b)
+        assert first[2] == second[2] == c and first[3] == lo + 1 and abs(second[3] - hi - 1) <= 2
+        assert first[1] & 0x2 and second[1] & 0x10 and not first[1] & 0x10 and first[4] >= 20
+        assert first[8] == -second[8] > 0 and first[6] == "="
+    u = rows[-1]
+    assert u[0][1] & 0x4 and u[1][1] & 0x4 and u[0][5] == "*" and u[0][4] == 0
+    assert rows[4][0][5] in ("60M2D38M",) or "2D" in rows[4][0][5]

@@ -2,6 +2,6 @@
 
 
 def core_registries() -> list:
-    from strandloom.queries import functions, operators, problems
+    from strandloom.queries import functions, kernels, operators, problems
 
-    return [problems.REG, functions.REG, operators.REG]
+    return [problems.REG, functions.REG, operators.REG, kernels.REG]

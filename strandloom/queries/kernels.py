@@ -118,7 +118,7 @@ def _tailed(spark, d) -> DataFrame:
     insert = F.left("s", F.least(size, F.length("s")))
     cut = lambda x: F.left(x, F.lit(100))
     q = F.repeat(F.lit("I"), F.lit(100))
-    return t.select(F.col("read_id").cast("string").alias("name"), cut(F.concat(insert, F.lit(trimming.ADAPTERS[0] * 3))).alias("seq1"), q.alias("qual1"), cut(F.concat(sq.reverse_complement(insert), F.lit(trimming.ADAPTERS[1] * 3))).alias("seq2"), q.alias("qual2"))
+    return t.select(F.col("read_id").cast("string").alias("name"), cut(F.concat(insert, F.lit(trimming.ADAPTERS[0]), F.reverse("s"))).alias("seq1"), q.alias("qual1"), cut(F.concat(sq.reverse_complement(insert), F.lit(trimming.ADAPTERS[1]), F.reverse("s"))).alias("seq2"), q.alias("qual2"))
 
 
 @REG.add("trim_pairs")

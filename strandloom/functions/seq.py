@@ -58,7 +58,11 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int, stride: int = 1) -> Column:
-    """All windows of ``k`` letters at steps of ``stride``; none if the sequence is shorter."""
+    """All windows of ``k`` letters at steps of ``stride``; none if the sequence is shorter.
+
+    For reads: each window is found from the sequence's beginning. Long sequences have
+    ``operators.genome.kmer_places`` and ``kmer_counts``.
+    """
     starts = F.sequence(F.lit(1), F.length(seq) - k + 1, F.lit(stride))
     return F.when(F.length(seq) >= k, F.transform(starts, lambda i: F.substr(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,21 +67,75 @@ def sampled(df: DataFrame, keys: list[str], order: Column, n: int = 5) -> DataFr
     return df.withColumn("rank_", F.row_number().over(by)).filter(F.col("rank_") <= n).drop("rank_")
 
 
+#: Windows of a sequence that are worked on at once.
+SLICE = 1 << 20
+
+
+def _words(text: str | None, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, words) of slices of a text's k-letter windows, without copying one window at a time."""
+    raw = np.frombuffer((text or "").encode("ascii", "replace"), np.uint8)
+    for at in range(0, len(raw) - k + 1, SLICE):
+        part = raw[at : at + SLICE + k - 1]
+        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(part, k))
+        yield at, windows.view(f"S{k}").ravel()
+
+
+def _strings(words: np.ndarray) -> pa.Array:
+    return pa.array(words.astype(object), pa.binary()).cast(pa.string())
+
+
+def _counted(df: DataFrame, seq: Column, k: int) -> DataFrame:
+    """``kmer, n`` counted within batches and then over all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [w for s in b.column(0).to_pylist() for _, w in _words(s, k)]
+            if parts:
+                w, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([_strings(w), pa.array(n.astype(np.int64))], ["kmer", "n"])
+
+    return df.select(seq.alias("s")).mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
 def kmer_counts(df: DataFrame, seq: Column, k: int) -> DataFrame:
-    """``kmer, n`` over all sequences; counted in each task before the shuffle."""
-    return df.select(F.explode(sq.kmers(seq, k)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    """``kmer, n`` over all sequences. Null and shorter sequences have none."""
+    return _counted(df, seq, k)
 
 
 def edge_counts(df: DataFrame, seq: Column, k: int) -> DataFrame:
     """``source, target, n``: edges between successive k-mers (a de Bruijn graph's multiplicities)."""
-    edges = df.select(F.explode(sq.kmers(seq, k + 1)).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-    return edges.select(F.substr("e", F.lit(1), F.lit(k)).alias("source"), F.substr("e", F.lit(2), F.lit(k)).alias("target"), "n")
+    edges = _counted(df, seq, k + 1)
+    return edges.select(F.substr("kmer", F.lit(1), F.lit(k)).alias("source"), F.substr("kmer", F.lit(2), F.lit(k)).alias("target"), "n")
 
 
 def repeated_kmers(df: DataFrame, key: str, seq: Column, k: int) -> DataFrame:
-    """``kmer``: those that occur more than once within some sequence."""
-    twice = df.select(F.col(key).alias("rec_key"), F.explode(sq.kmers(seq, k)).alias("kmer")).groupBy("rec_key", "kmer").agg(F.count(F.lit(1)).alias("n"))
-    return twice.filter("n > 1").select("kmer").distinct()
+    """``kmer``: those that occur more than once within some sequence; every row is a sequence of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for s in b.column(0).to_pylist():
+                parts = [w for _, w in _words(s, k)]
+                if parts:
+                    w, n = np.unique(np.concatenate(parts), return_counts=True)
+                    found.append(w[n > 1])
+            if found:
+                yield pa.RecordBatch.from_arrays([_strings(np.unique(np.concatenate(found)))], ["kmer"])
+
+    return df.select(seq.alias("s")).mapInArrow(run, "kmer string").distinct()
+
+
+def kmer_places(df: DataFrame, key: str, seq: Column, k: int) -> DataFrame:
+    """``rec_key, place, kmer``: every window of every sequence (a posting table, never collected)."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, s in enumerate(b.column(1).to_pylist()):
+                for at, w in _words(s, k):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(w), i))), pa.array(np.arange(at, at + len(w), dtype=np.int64)), _strings(w)], ["rec_key", "place", "kmer"])
+
+    return df.select(F.col(key), seq.alias("s")).mapInArrow(run, f"rec_key {kind}, place long, kmer string")
 
 
 def best_per_place(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -258,7 +258,7 @@ def kmer_repeated(spark, d):
 @REG.add("seed_positions", f"with f as ({_FASTA}), k as (select rec_id, i - 1 as place, s[i:i+18] as w from f, unnest(range(1, length(s) - 17)) as x(i)), r as (select distinct read_id, upper(seq)[1:19] as w from fastq_reads where length(seq) >= 19) select read_id, rec_id, place::int as place from r join k using (w)")
 def seed_positions(spark, d):
     """Exact seeds by a posting table of 19-mers, hash partitioned and never broadcast."""
-    posting = fasta(spark, d).select("rec_id", F.posexplode(sq.kmers(F.col("s"), 19)).alias("place", "w"))
+    posting = gn.kmer_places(fasta(spark, d), "rec_id", F.col("s"), 19).select(F.col("rec_key").alias("rec_id"), F.col("place").cast("int").alias("place"), F.col("kmer").alias("w"))
     r = table(spark, d, "fastq_reads").filter("length(seq) >= 19").select("read_id", F.left(F.upper("seq"), F.lit(19)).alias("w")).distinct()
     return r.join(posting, "w").select("read_id", "rec_id", "place")
 

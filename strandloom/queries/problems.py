@@ -15,7 +15,30 @@ def _judged(spark, d):
     return rejects.judge_lines(table(spark, d, "raw_lines"), table(spark, d, "contig_names"))
 
 
-@REG.add("p2_found")
+#: A field and the rules of values in SQL; a field may be quoted in vcf and bed lines.
+_FIELD = """(?:"(?:[^"]|"")*"|[^"\\t][^\\t]*|)"""
+_INT = "(regexp_full_match({0}, '[0-9]+') and length(ltrim({0}, '0')) <= 12 and try_cast({0} as hugeint) between {1} and {2})"
+_UINT = rejects.UINT32
+_JUDGED = f"""with b as (select line_id, file_kind, file_name, line_no, regexp_replace(regexp_replace(line, '\r$', ''), '\t$', '') as body from raw_lines),
+ h as (select file_name, file_kind, len(string_split(min_by(body, line_no), chr(9))) as expected from b where file_kind in ('vcf', 'bed') and body like '#%' and body not like '##%' group by all),
+ d as (select b.*, expected from b left join h using (file_name, file_kind) where trim(replace(body, chr(9), ' ')) <> ''
+   and ((file_kind = 'sam' and body not like '@%') or (file_kind in ('vcf', 'bed') and body not like '#%' and body not like 'track%' and body not like 'browser%'))),
+ q as (select *, file_kind = 'sam' or regexp_full_match(body, '{_FIELD}(?:\t{_FIELD})*') as whole,
+   case when file_kind = 'sam' then string_split(body, chr(9)) else list_transform(regexp_extract_all(body || chr(9), '{_FIELD}\t'),
+     lambda x: case when x like '"%' then replace(x[2:-3], '""', '"') else x[:-2] end) end as f from d),
+ c as (select *, case when file_kind = 'sam' then len(f) >= 11 else len(f) = expected end as counted from q),
+ s as (select spelling, max(length_bp) as bp from contig_names group by spelling),
+ v as (select c.*, bp from c left join s on spelling = case when file_kind = 'sam' then f[3] else f[1] end),
+ j as (select line_id, case when not whole then 'quoting' when not counted then 'column_count' when not coalesce(case file_kind
+   when 'vcf' then bp is not null and {_INT.format('f[2]', 1, 'bp')} and regexp_full_match(f[4], '[ACGTNacgtn]+') and regexp_full_match(f[6], '[.]|[0-9]+([.][0-9]+)?')
+   when 'sam' then {_INT.format('f[2]', 0, 4095)} and (f[3] = '*' or bp is not null) and {_INT.format('f[4]', 0, _UINT)} and {_INT.format('f[5]', 0, 255)}
+     and regexp_full_match(f[6], '[*]|([0-9]+[MIDNSHP=X])+') and (f[11] = '*' or (regexp_full_match(f[11], '[!-~]*') and (f[10] = '*' or length(f[10]) = length(f[11]))))
+   else bp is not null and {_INT.format('f[2]', 0, _UINT)} and {_INT.format('f[3]', 0, _UINT)} and try_cast(f[3] as hugeint) >= try_cast(f[2] as hugeint)
+     and (len(f) < 6 or ({_INT.format('f[5]', 0, 1000)} and f[6] in ('+', '-', '.'))) end, false) then 'value' end as reason from v)
+ """
+
+
+@REG.add("p2_found", _JUDGED + "select distinct line_id, reason from j where reason is not null")
 def p2_found(spark, d) -> DataFrame:
     return _judged(spark, d)[1].select("line_id", "reason").distinct()
 

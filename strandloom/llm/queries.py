@@ -68,8 +68,8 @@ def _near(spark, d) -> tuple[DataFrame, DataFrame]:
   else upper(regexp_replace(seq, '\\s', '', 'g')) end from sam_alignments),
  w as (select distinct id, s[i:i+7] as word from r, unnest(range(1, length(s) - 6)) as t(i) where s <> '*'),
  n as (select id, count(*) as n from w group by id),
- j as (select a.id as id_a, b.id as id_b, count(*) as both from w a join w b on a.word = b.word and a.id < b.id group by 1, 2)
- select id_a, id_b from j join n x on x.id = id_a join n y on y.id = id_b where 2 * both >= x.n + y.n - both""",
+ j as (select a.id as id_a, b.id as id_b, count(*) as shared from w a join w b on a.word = b.word and a.id < b.id group by 1, 2)
+ select id_a, id_b from j join n x on x.id = id_a join n y on y.id = id_b where 3 * shared >= x.n + y.n""",
 )
 def p3_found(spark, d) -> DataFrame:
     return neardup.record_pairs(*_near(spark, d))

@@ -21,29 +21,29 @@ def reads(spark, d):
     return table(spark, d, "fastq_reads").filter("seq is not null").select("read_id", F.upper(F.regexp_replace("seq", r"\s", "")).alias("s"), "qual")
 
 
-def simple(name: str, sql: str, **cols):
-    """A query of read functions and its SQL."""
-    REG.add(name, f"with r as ({_READ}) select read_id, {sql} from r")(lambda spark, d: reads(spark, d).select("read_id", *[c.alias(n) for n, c in cols.items()]))
+def simple(name: str, sql: str, columns):
+    """A query of read functions and its SQL; ``columns`` makes them by name when a session is there."""
+    REG.add(name, f"with r as ({_READ}) select read_id, {sql} from r")(lambda spark, d: reads(spark, d).select("read_id", *[c.alias(n) for n, c in columns().items()]))
+
+
+def s():
+    return F.col("s")
 
 
-_S = F.col("s")
 _REVCOMP = "reverse(translate(regexp_replace({}, '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA'))"
-simple("seq_reverse_complement", _REVCOMP.format("s") + " as rc", rc=sq.reverse_complement(_S))
-simple("seq_codes", "array_to_string(list_transform(list_filter(string_split(s, ''), lambda c: c <> ''), lambda c: case c when 'A' then 0 when 'C' then 1 when 'G' then 2 when 'T' then 3 else 4 end), '') as codes", codes=F.array_join(F.transform(sq.codes(_S), lambda c: c.cast("string")), ""))
-simple("seq_from_codes", "regexp_replace(s, '[^ACGT]', 'N', 'g') as back", back=sq.from_codes(sq.codes(_S)))
-simple("seq_dna4", "regexp_replace(s, '[^ACGT]', 'A', 'g') as dna4", dna4=sq.dna4(_S))
-simple("seq_first_base", "case when s[1] in ('A', 'C', 'G', 'T') then true else false end as valid, case s[1] when 'A' then 0 when 'C' then 1 when 'G' then 2 when 'T' then 3 else 4 end as code", valid=sq.is_valid(F.left(_S, F.lit(1))), code=sq.to_code(F.left(_S, F.lit(1))))
-simple(
-    "seq_pack", "list_reduce(list_transform(string_split(regexp_replace(s[1:12], '[^ACGT]', 'A', 'g'), ''), lambda c: case c when 'C' then 1 when 'G' then 2 when 'T' then 3 else 0 end::bigint), lambda a, x: a * 4 + x) as key",
-    key=sq.pack(F.left(_S, F.lit(12))),
-)
-simple("seq_unpack", "case when length(s) >= 12 then regexp_replace(s[1:12], '[^ACGT]', 'A', 'g') end as word", word=F.when(F.length(_S) >= 12, sq.unpack(sq.pack(F.left(_S, F.lit(12))), 12)))
-simple("seq_base_counts", ", ".join(f"(length(s) - length(replace(s, '{b}', ''))) as n_{b.lower()}" for b in "ACGT"), **{f"n_{b.lower()}": sq.base_count(_S, b) for b in "ACGT"})
-simple("seq_low_complexity", "length(s) > 0 and greatest(" + ", ".join(f"length(s) - length(replace(s, '{b}', ''))" for b in "ACGT") + ") >= 0.3 * length(s) as low", low=sq.low_complexity(_S, 0.3))
-simple("seq_split_at_unknown", "array_to_string(list_filter(string_split_regex(s, '[^ACGT]+'), lambda x: length(x) >= 19), ',') as parts", parts=F.array_join(sq.split_at_unknown(_S), ","))
-simple("seq_similarity", "case when length(s) >= 32 then list_sum(list_transform(range(1, 17), lambda i: case when s[i] = s[i + 16] then 1 else 0 end)) / 16.0 else null end::double as same", same=F.when(F.length(_S) >= 32, sq.similarity(F.substr(_S, F.lit(1), F.lit(16)), F.substr(_S, F.lit(17), F.lit(16)))))
-simple("seq_kmer_hits", "case when length(s) >= 60 then len(list_filter(list_transform(range(1, 24, 7), lambda i: s[i:i+7]), lambda k: contains(s[21:], k)))::int end as hits", hits=F.when(F.length(_S) >= 60, sq.kmer_hits(F.substr(_S, F.lit(1), F.lit(30)), F.substr(_S, F.lit(21), F.length(_S)))))
-simple("seq_strided_kmers", "case when length(s) >= 8 then array_to_string(list_transform(range(1, length(s) - 6, 7), lambda i: s[i:i+7]), ',') else '' end as words", words=F.array_join(sq.kmers(_S, 8, 7), ","))
+simple("seq_reverse_complement", _REVCOMP.format("s") + " as rc", lambda: dict(rc=sq.reverse_complement(s())))
+simple("seq_codes", "array_to_string(list_transform(list_filter(string_split(s, ''), lambda c: c <> ''), lambda c: case c when 'A' then 0 when 'C' then 1 when 'G' then 2 when 'T' then 3 else 4 end), '') as codes", lambda: dict(codes=F.array_join(F.transform(sq.codes(s()), lambda c: c.cast("string")), "")))
+simple("seq_from_codes", "regexp_replace(s, '[^ACGT]', 'N', 'g') as back", lambda: dict(back=sq.from_codes(sq.codes(s()))))
+simple("seq_dna4", "regexp_replace(s, '[^ACGT]', 'A', 'g') as dna4", lambda: dict(dna4=sq.dna4(s())))
+simple("seq_first_base", "case when s[1] in ('A', 'C', 'G', 'T') then true else false end as valid, case s[1] when 'A' then 0 when 'C' then 1 when 'G' then 2 when 'T' then 3 else 4 end as code", lambda: dict(valid=sq.is_valid(F.left(s(), F.lit(1))), code=sq.to_code(F.left(s(), F.lit(1)))))
+simple("seq_pack", "list_reduce(list_transform(string_split(regexp_replace(s[1:12], '[^ACGT]', 'A', 'g'), ''), lambda c: case c when 'C' then 1 when 'G' then 2 when 'T' then 3 else 0 end::bigint), lambda a, x: a * 4 + x) as key", lambda: dict(key=sq.pack(F.left(s(), F.lit(12)))))
+simple("seq_unpack", "case when length(s) >= 12 then regexp_replace(s[1:12], '[^ACGT]', 'A', 'g') end as word", lambda: dict(word=F.when(F.length(s()) >= 12, sq.unpack(sq.pack(F.left(s(), F.lit(12))), 12))))
+simple("seq_base_counts", ", ".join(f"(length(s) - length(replace(s, '{b}', ''))) as n_{b.lower()}" for b in "ACGT"), lambda: dict(**{f"n_{b.lower()}": sq.base_count(s(), b) for b in "ACGT"}))
+simple("seq_low_complexity", "length(s) > 0 and greatest(" + ", ".join(f"length(s) - length(replace(s, '{b}', ''))" for b in "ACGT") + ") >= 0.3 * length(s) as low", lambda: dict(low=sq.low_complexity(s(), 0.3)))
+simple("seq_split_at_unknown", "array_to_string(list_filter(string_split_regex(s, '[^ACGT]+'), lambda x: length(x) >= 19), ',') as parts", lambda: dict(parts=F.array_join(sq.split_at_unknown(s()), ",")))
+simple("seq_similarity", "case when length(s) >= 32 then list_sum(list_transform(range(1, 17), lambda i: case when s[i] = s[i + 16] then 1 else 0 end)) / 16.0 else null end::double as same", lambda: dict(same=F.when(F.length(s()) >= 32, sq.similarity(F.substr(s(), F.lit(1), F.lit(16)), F.substr(s(), F.lit(17), F.lit(16))))))
+simple("seq_kmer_hits", "case when length(s) >= 60 then len(list_filter(list_transform(range(1, 24, 7), lambda i: s[i:i+7]), lambda k: contains(s[21:], k)))::int end as hits", lambda: dict(hits=F.when(F.length(s()) >= 60, sq.kmer_hits(F.substr(s(), F.lit(1), F.lit(30)), F.substr(s(), F.lit(21), F.length(s()))))))
+simple("seq_strided_kmers", "case when length(s) >= 8 then array_to_string(list_transform(range(1, length(s) - 6, 7), lambda i: s[i:i+7]), ',') else '' end as words", lambda: dict(words=F.array_join(sq.kmers(s(), 8, 7), ",")))
 
 
 @REG.add(

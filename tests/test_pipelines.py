@@ -113,3 +113,14 @@ def test_entry_points(spark):
     assert set(sql) <= set(names) and len(names) > 80
     core = Path(entry.__file__).parent / "strandloom"
     assert not [p for p in core.rglob("*.py") if "llm" not in p.parts and "strandloom.llm" in p.read_text()]
+
+
+def test_entry_points_without_a_session():
+    import subprocess
+    import sys
+
+    import __spark_entry__ as entry
+
+    code = "import __spark_entry__ as e; print('NAMES', len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
+    assert out.stdout.startswith("NAMES "), out.stderr[-500:]

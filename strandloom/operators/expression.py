@@ -61,9 +61,8 @@ def size_normalised(m: DataFrame) -> DataFrame:
 
 def filled(m: DataFrame) -> DataFrame:
     """Every gene in every sample, 0 where it was missing. The result has samples x genes rows by definition."""
-    samples = m.groupBy().agg(F.sort_array(F.collect_set("sample")).alias("s"))
-    genes = m.select("gene").distinct().withColumn("one", F.lit(1))
-    every = genes.join(samples.withColumn("one", F.lit(1)), "one").select("gene", F.explode("s").alias("sample"))
+    samples = m.agg(F.sort_array(F.collect_set("sample"))).scalar()
+    every = m.select("gene").distinct().select("gene", F.explode(samples).alias("sample"))
     return every.join(m, ["sample", "gene"], "left").select("sample", "gene", F.coalesce("value", F.lit(0).cast(m.schema["value"].dataType)).alias("value"))
 
 
@@ -80,9 +79,9 @@ def quantile_normalised(m: DataFrame) -> DataFrame:
 
 def tmm_reference(m: DataFrame, quantile: float = 0.75) -> DataFrame:
     """``sample``: the one whose upper quartile over its size is nearest to the mean of all; the first of equal ones."""
-    q = m.groupBy("sample").agg((F.percentile("value", F.lit(quantile)) / F.sum("value")).alias("q")).withColumn("one", F.lit(1))
-    mean = q.groupBy("one").agg(F.avg("q").alias("mean_q"))
-    return q.join(mean, "one").agg(F.min_by("sample", F.struct(F.abs(F.col("q") - F.col("mean_q")), F.col("sample"))).alias("sample"))
+    q = m.groupBy("sample").agg((F.percentile("value", F.lit(quantile)) / F.sum("value")).alias("q"))
+    mean = q.agg(F.avg("q")).scalar()
+    return q.agg(F.min_by("sample", F.struct(F.abs(F.col("q") - mean), F.col("sample"))).alias("sample"))
 
 
 def tmm_factors(m: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05, weighted: bool = True, least_a: float = -1e10) -> DataFrame:
@@ -112,8 +111,8 @@ def tmm_factors(m: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05, weighte
     kept = ranked.filter(within("rm", trim_m) & within("ra", trim_a) & (F.col("far") >= 1e-6))
     mean = F.sum(F.col("m") / F.col("v")) / F.sum(1 / F.col("v")) if weighted else F.avg("m")
     raw = sizes.select("sample").join(kept.groupBy("sample").agg(mean.alias("mean_")), "sample", "left").select("sample", F.coalesce(F.pow(F.lit(2.0), "mean_"), F.lit(1.0)).alias("raw"))
-    centre = raw.withColumn("one", F.lit(1)).groupBy("one").agg(F.avg(F.log2("raw")).alias("c_"))
-    return raw.withColumn("one", F.lit(1)).join(centre, "one").select("sample", "raw", (F.col("raw") / F.pow(F.lit(2.0), "c_")).alias("factor"))
+    centre = raw.agg(F.avg(F.log2("raw"))).scalar()
+    return raw.select("sample", "raw", (F.col("raw") / F.pow(F.lit(2.0), centre)).alias("factor"))
 
 
 def tmm_normalised(m: DataFrame) -> DataFrame:

@@ -84,6 +84,5 @@ def key_statistics(df: DataFrame, key: str, position: str, partitions: int | Non
 
 def heavy_keys(stats: DataFrame, share: float) -> DataFrame:
     """The keys, null apart, that hold at least ``share`` of the rows of all non-null keys."""
-    known = stats.filter("k is not null").withColumn("one", F.lit(1))
-    total = known.groupBy("one").agg(F.sum("n_rows").alias("all_rows"))
-    return known.join(total, "one").filter(F.col("n_rows") >= F.lit(share) * F.col("all_rows")).drop("one", "all_rows")
+    known = stats.filter("k is not null")
+    return known.filter(F.col("n_rows") >= F.lit(share) * known.agg(F.sum("n_rows")).scalar())

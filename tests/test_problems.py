@@ -166,3 +166,11 @@ def test_very_long_line(spark):
     df = spark.createDataFrame([(1, "bed", "f", 0, "#a\tb\tc\td"), (2, "bed", "f", 1, line)], "line_id long, file_kind string, file_name string, line_no int, line string")
     contigs = spark.createDataFrame(CONTIGS, "spelling string, chrom string, length_bp long")
     assert rows(rejects.judge_lines(df, contigs)[1]) == []
+
+
+def test_clear(spark):
+    from strandloom import storage
+
+    storage.clear(spark)
+    df = storage.materialise(spark.range(3), "x")
+    assert df.count() == 3 and storage.clear(spark) == 1 and storage.clear(spark) == 0

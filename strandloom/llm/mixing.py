@@ -77,12 +77,8 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None) -> tuple
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tokens").alias("available"))
     plan = sizes.withColumnRenamed("source", "has").join(targets, F.col("has") == F.col("source"), "full")
     plan = plan.select(F.coalesce("source", "has").alias("source"), "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("available", F.lit(0)).alias("available"))
-    held = plan.withColumn("one", F.lit(1))
-    if budget is None:
-        total = held.filter("target_share > 0").groupBy("one").agg(F.sum("available").alias("budget"))
-    else:
-        total = held.groupBy("one").agg(F.lit(int(budget)).cast("long").alias("budget"))
-    plan = held.join(total, "one", "left").drop("one")
+    total = plan.filter("target_share > 0").agg(F.sum("available")).scalar() if budget is None else F.lit(int(budget)).cast("long")
+    plan = plan.withColumn("budget", total)
     wanted = F.coalesce(F.round(F.col("target_share") * F.col("budget")).cast("long"), F.lit(0))
     plan = plan.withColumn("wanted", wanted)
     whole = F.when(F.col("available") > 0, F.least(F.expr("wanted div nullif(available, 0)"), F.col("max_repeats").cast("long"))).otherwise(0)
@@ -110,9 +106,9 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None) -> tuple
     uses = chosen.select("doc_id", F.col("of").alias("source"), "tokens", (F.coalesce("passes", F.lit(0)) + once).cast("long").alias("n_used"))
 
     spent = uses.groupBy(F.col("source").alias("of")).agg(F.sum(F.col("tokens") * F.col("n_used")).alias("used"))
-    shares = plan.join(spent, F.col("of").eqNullSafe(F.col("source")), "left").withColumn("used", F.coalesce("used", F.lit(0))).withColumn("one", F.lit(1))
-    sums = shares.groupBy("one").agg(F.sum("used").alias("all_used"))
+    shares = plan.join(spent, F.col("of").eqNullSafe(F.col("source")), "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    shares = shares.withColumn("all_used", spent.agg(F.sum("used")).scalar())
     share = F.when(F.col("all_used") > 0, F.col("used") / F.col("all_used")).otherwise(0.0)
     met = F.col("available") * F.coalesce("max_repeats", F.lit(0)) >= F.col("wanted")
-    shares = shares.join(sums, "one").select("source", "target_share", "max_repeats", "n_docs", "available", "wanted", "used", share.alias("share"), F.coalesce(met, F.lit(True)).alias("met"))
+    shares = shares.select("source", "target_share", "max_repeats", "n_docs", "available", "wanted", "used", share.alias("share"), F.coalesce(met, F.lit(True)).alias("met"))
     return uses, shares

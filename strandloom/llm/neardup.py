@@ -31,9 +31,9 @@ BANDS = 24
 COMMON = 0.01
 #: Records with at least this share of uncommon words get a signature of those; below the second, one of all words.
 SOME, MOST = 0.4, 0.7
-#: A row of a bucket is compared with the bucket's first and with the preceding rows: all pairs in
-#: buckets up to PRECEDING + 1 rows, and a number of pairs in proportion to the rows beyond.
-FIRST, PRECEDING = 8, 40
+#: Rows of a bucket are compared with the bucket's first and with the preceding ones as they stream by; that is
+#: all pairs in buckets up to PRECEDING + 1 rows. The other pairs of larger buckets are formed block by block.
+FIRST, PRECEDING, BLOCK = 8, 40, 64
 
 _U = np.uint64
 
@@ -196,8 +196,8 @@ def common_words(texts: DataFrame, share: float = COMMON) -> DataFrame:
 
     counted = texts.mapInArrow(count, "word long, n long, whole boolean").groupBy("whole", "word").agg(F.sum("n").alias("n"))
     counted = materialise(counted, "words")
-    total = counted.filter("whole").select(F.col("n").alias("rows"), F.lit(False).alias("whole"))
-    return counted.filter("not whole").join(total, "whole").filter(F.col("n") >= F.greatest(F.lit(share) * F.col("rows"), F.lit(2))).select("word")
+    total = counted.filter("whole").agg(F.sum("n")).first()[0] or 0
+    return counted.filter("not whole").filter(F.col("n") >= max(share * total, 2)).select("word")
 
 
 def bucket_rows(texts: DataFrame, common: np.ndarray) -> DataFrame:
@@ -239,6 +239,28 @@ def bucket_rows(texts: DataFrame, common: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "slot long, rest int")
 
 
+def _rows(rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """A pair (rank -1), or a bucket, an ident and its rank for the rows beyond a bucket's first ones."""
+    return pa.RecordBatch.from_arrays([pa.array(rank.astype(np.int64)), pa.array(a), pa.array(b)], ["rank", "a", "b"])
+
+
+def _pairs_between_blocks(rows: DataFrame) -> DataFrame:
+    """``a, b``: the pairs of large buckets that lie too far apart to meet in the stream.
+
+    A bucket's rows are cut into blocks and every two blocks are a group of their own, so that no
+    task holds a bucket. Buckets of that size hold families of near copies (words that unrelated
+    records share aren't in the signatures), so the pairs are mostly links.
+    """
+    crowd = rows.filter("rank >= 0").select(F.col("a").alias("bucket"), F.col("b").alias("ident"), "rank")
+    large = crowd.groupBy("bucket").agg(F.max("rank").alias("most")).filter(F.col("most") > PRECEDING)
+    placed = crowd.join(large, "bucket").withColumn("block", F.expr(f"rank div {BLOCK}"))
+    last = F.expr(f"most div {BLOCK}")
+    low = placed.select("bucket", F.col("block").alias("lo"), F.explode(F.sequence("block", last)).alias("hi"), F.col("ident").alias("x"), F.col("rank").alias("i"))
+    high = placed.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("lo"), F.col("block").alias("hi"), F.col("ident").alias("y"), F.col("rank").alias("j"))
+    far = low.join(high, ["bucket", "lo", "hi"]).filter((F.col("j") - F.col("i") > PRECEDING) & (F.col("x") != F.col("y")))
+    return far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _pairs_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket and the ids' upper bits (one number sorts faster than two), so copies
     stand together but for ids that differ in their lower bits only; a bucket may run on over batches, of which only a few rows are kept."""
@@ -286,7 +308,10 @@ def _pairs_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             a, c = np.concatenate(left), np.concatenate(right)
             a, c = np.minimum(a, c), np.maximum(a, c)
             ok = a < c
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(c[ok])], ["a", "b"])
+            yield _rows(np.full(int(ok.sum()), -1), a[ok], c[ok])
+        crowd = np.flatnonzero((r >= FIRST) & (np.arange(len(k)) >= new))
+        if len(crowd):
+            yield _rows(r[crowd], k[crowd], i[crowd])
         last = k == k[-1]
         held = last & ((r < FIRST) | (r > r[-1] - PRECEDING))
         key, ids, rank = k[held], i[held], r[held]
@@ -321,7 +346,9 @@ def similar_texts(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     frozen = np.array([r.word for r in common_words(texts.select("text")).collect()], np.int64)
     buckets = bucket_rows(texts.select("ident", "text"), frozen)
     placed = buckets.repartition(F.shiftright("slot", 16)).sortWithinPartitions("slot")
-    pairs = materialise(placed.mapInArrow(_pairs_in_buckets, "a long, b long").distinct(), "pairs")
+    met = materialise(placed.mapInArrow(_pairs_in_buckets, "rank long, a long, b long").distinct(), "met")
+    pairs = met.filter("rank = -1").select("a", "b").unionByName(_pairs_between_blocks(met))
+    pairs = materialise(pairs.distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("ident")).distinct()
     seqs = texts.join(needed, "ident", "left_semi").groupBy("ident", "h1", "h2").agg(F.min("text").alias("text"))
     seqs = materialise(seqs, "needed")

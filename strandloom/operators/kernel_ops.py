@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from strandloom import schemas
 from strandloom.functions import cigar as cg
 from strandloom.functions import sam as sm
-from strandloom.kernels import aligner, alignment, assembly, genotyping, pairhmm, poa, suffix, tailor, trimming
+from strandloom.kernels import aligner, alignment, assembly, genotyping, pairhmm, poa, suffix, tails, trimming
 from strandloom.operators import genome as gn
 
 #: Bases of a reference block: bounds what is collected and broadcast at once.
@@ -130,7 +130,7 @@ def reference_blocks(reference: DataFrame, name: str = "name", seq: str = "seq",
     return out
 
 
-def map_small_rna(reads: DataFrame, reference: DataFrame, options: tailor.Options = tailor.Options()) -> DataFrame:
+def map_small_rna(reads: DataFrame, reference: DataFrame, options: tails.Options = tails.Options()) -> DataFrame:
     """SAM rows of ``name, seq, qual`` reads; a row for each hit.
 
     Over several blocks of a large reference a read keeps the hits of the blocks with its longest
@@ -138,14 +138,14 @@ def map_small_rna(reads: DataFrame, reference: DataFrame, options: tailor.Option
     """
     found = None
     for block in reference_blocks(reference):
-        shared = reads.sparkSession.sparkContext.broadcast(tailor.Genome(block))
+        shared = reads.sparkSession.sparkContext.broadcast(tails.Genome(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(0, b.num_rows, 2000):
                     part = b.slice(i, 2000)
                     triples = list(zip(*(["" if x is None else x for x in part.column(c).to_pylist()] for c in range(3))))
-                    yield _batch([r for pair in tailor.map_reads(shared.value, triples, options) for m in pair for r in tailor.sam_rows(m)], _SAM, SAM_NAMES)
+                    yield _batch([r for pair in tails.map_reads(shared.value, triples, options) for m in pair for r in tails.sam_rows(m)], _SAM, SAM_NAMES)
 
         rows = reads.select("name", "seq", "qual").mapInArrow(run, schemas.SAM)
         found = rows if found is None else found.unionByName(rows)

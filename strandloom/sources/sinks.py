@@ -26,6 +26,7 @@ def fastq_text(name: Column, seq: Column, qual: Column) -> Column:
 
 def delimited(df: DataFrame, strict_reference: bool = False) -> DataFrame:
     """``value``: the columns joined by tabs, arrays spread out; with a tab at the end on request."""
+    df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names may hold anything
     cols = [F.array_join(c, "\t") if t.startswith("array") else F.coalesce(F.col(c).cast("string"), F.lit("")) for c, t in df.dtypes]
     line = F.concat_ws("\t", *[F.when(c != "", c) if t.startswith("array") else c for c, (_, t) in zip(cols, df.dtypes)])
     return df.select((F.concat(line, F.lit("\t")) if strict_reference else line).alias("value"))

@@ -81,7 +81,11 @@ def read_bed_six(spark: SparkSession, path: str) -> DataFrame:
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
     """Nine columns; ``attributes`` besides as a map, of GFF3 (``k=v``) and GTF (``k "v"``) alike."""
-    t = records(lines(spark, path), schemas.GFF, HEADERS["gff"], DEFAULTS["gff"])
+    return with_attributes(records(lines(spark, path), schemas.GFF, HEADERS["gff"], DEFAULTS["gff"]))
+
+
+def with_attributes(t: DataFrame) -> DataFrame:
+    """GFF records with their attributes as a map; of a key that repeats the first value holds."""
     pattern = r'^\s*([^\s=]+)[\s=]+"?([^"]*)"?\s*$'
     good = F.filter(F.split("attrs", ";"), lambda x: x.rlike(pattern))
     key = F.transform(good, lambda x: F.regexp_extract(x, pattern, 1))

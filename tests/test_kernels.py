@@ -168,8 +168,8 @@ def test_fm_index(sampling):
     assert text[100 + left : 150] in text and len(index.offsets(lo, hi)) == hi - lo
 
 
-def test_tailor():
-    from strandloom.kernels import tailor as tl
+def test_tails():
+    from strandloom.kernels import tails as tl
 
     rng = random.Random(8)
     chroms = [("c1", dna(rng, 800)), ("c2", dna(rng, 500))]

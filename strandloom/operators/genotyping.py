@@ -38,3 +38,14 @@ def log10_sum(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     top = df.groupBy(*keys).agg(F.max(value).alias("top_"))
     joined = df.join(top, keys)
     return joined.groupBy(*keys).agg((F.first("top_") + F.log10(F.sum(F.pow(F.lit(10.0), F.col(value) - F.col("top_"))))).alias("total"))
+
+
+def reference_confidence(df: DataFrame, keys: list[str], base: str, qual: str, ref: str) -> DataFrame:
+    """``*keys, depth, hom_ref, het, hom_alt``: log10 likelihoods of the reference base against any other
+    one over a pile of bases with Phred qualities. Rows with a null base or reference, or a quality
+    that isn't above 0, don't count."""
+    q = F.col(qual).cast("double")
+    right, wrong = F.log10(1 - F.pow(F.lit(10.0), -q / 10)), -q / 10 - F.log10(F.lit(3.0))
+    same = F.col(base) == F.col(ref)
+    rows = df.filter(F.col(base).isNotNull() & F.col(ref).isNotNull() & (q > 0)).select(*keys, F.when(same, right).otherwise(wrong).alias("r_"), F.when(same, wrong).otherwise(right).alias("a_"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("depth"), F.sum("r_").alias("hom_ref"), F.sum(pair_sum(F.col("r_"), F.col("a_")) - F.log10(F.lit(2.0))).alias("het"), F.sum("a_").alias("hom_alt"))

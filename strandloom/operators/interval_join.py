@@ -48,7 +48,9 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     on = [F.col(k) == F.col(f"r_{k}") for k in keys]
     lb, rb = (_binned(d.filter(f"{p}{begin} is not null and {p}{end} is not null"), F.col(p + begin), F.col(p + end), width) for d, p in ((l, ""), (r, "r_")))
     if salts > 1:
-        lb = lb.withColumn("salt_", (F.rand(1) * salts).cast("int"))
+        # by content, so that a task that runs again gives every row the same part
+        own = [F.col(c) for c in names if not lb.schema[c].dataType.simpleString().startswith("map")]
+        lb = lb.withColumn("salt_", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int"))
         rb = rb.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         on.append(lb["salt_"] == rb["salt_"])
     meet = (F.col(begin) < F.col(f"r_{end}")) & (F.col(f"r_{begin}") < F.col(end))

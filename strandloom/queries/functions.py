@@ -129,6 +129,12 @@ def sam_template_length(spark, d):
     return t.join(m, ["qname", "first_read"]).select("aln_id", sm.template_length(c("pos"), c("steps"), c("fwd"), c("mate_pos"), c("mate_steps"), c("mate_fwd")).alias("tlen"))
 
 
+@REG.add("sam_orientation", "select aln_id, case when flag & 16 = 0 then case when flag & 32 = 0 then 'FF' else 'FR' end else case when flag & 32 = 0 then 'RF' else 'RR' end end as orientation from sam_alignments where flag is not null")
+def sam_orientation(spark, d):
+    t = table(spark, d, "sam_alignments").filter("flag is not null")
+    return t.select("aln_id", sm.orientation(~sm.has_flag(F.col("flag"), "read_reverse_strand"), ~sm.has_flag(F.col("flag"), "mate_reverse_strand")).alias("orientation"))
+
+
 @REG.add(
     "sam_tlen_defined",
     _SAM + f"""select aln_id, coalesce(tlen <> 0 and flag & 1 <> 0 and flag & 12 = 0 and ((flag & 16 <> 0) <> (flag & 32 <> 0))

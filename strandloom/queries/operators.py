@@ -369,3 +369,27 @@ def mismatch_distances(spark, d):
 
     t = table(spark, d, "fastq_reads").filter("length(seq) >= 30").select("read_id", F.filter(F.sequence(F.lit(1), F.lit(30)), lambda i: F.substr(F.upper("seq"), i, F.lit(1)) == "A").alias("xs")).distinct()
     return t.select("read_id", F.array_join(F.transform(differences(F.col("xs")), lambda x: x.cast("string")), ",").alias("steps"))
+
+
+@REG.add(
+    "reference_confidence",
+    """with p as (select library, upper(seq)[1] as b, ascii(qual[1]) - 33 as q, case when read_id % 2 = 0 then 'A' else upper(seq)[2] end as ref from fastq_reads where length(seq) >= 2 and qual <> ''),
+    l as (select *, b = ref as same, log10(1 - pow(10, -q / 10.0)) as yes, -q / 10.0 - log10(3) as no from p where q > 0 and library is not null),
+    x as (select library, case when same then yes else no end as r, case when same then no else yes end as a from l)
+    select library, count(*) as depth, round(sum(r), 4) as hom_ref, round(sum(greatest(r, a) + log10(1 + pow(10, least(r, a) - greatest(r, a))) - log10(2)), 4) as het, round(sum(a), 4) as hom_alt from x group by library""",
+)
+def reference_confidence(spark, d):
+    from strandloom.operators import genotyping as gt
+
+    t = table(spark, d, "fastq_reads").filter("length(seq) >= 2 and qual <> '' and library is not null")
+    s = F.upper("seq")
+    t = t.select("library", F.substr(s, F.lit(1), F.lit(1)).alias("b"), (F.ascii("qual") - 33).alias("q"), F.when(F.col("read_id") % 2 == 0, "A").otherwise(F.substr(s, F.lit(2), F.lit(1))).alias("ref"))
+    return gt.reference_confidence(t, ["library"], "b", "q", "ref").select("library", "depth", *[F.round(c, 4).alias(c) for c in ("hom_ref", "het", "hom_alt")])
+
+
+@REG.add("genotype_vcf_order", "select distinct var_id, array_to_string([var_id % 11, var_id % 7, var_id % 3, var_id % 5, var_id % 13, var_id % 2], ',') as shown from vcf_variants")
+def genotype_vcf_order(spark, d):
+    """The same values given by the smaller allele: 00 01 02 11 12 22."""
+    v = lambda n: F.col("var_id") % n
+    xs = mx.to_vcf_order(F.array(v(11), v(7), v(5), v(3), v(13), v(2)), 3)
+    return table(spark, d, "vcf_variants").select("var_id", F.array_join(F.transform(xs, lambda x: x.cast("string")), ",").alias("shown")).distinct()

@@ -113,3 +113,14 @@ def test_genotype_aggregates(spark):
     assert got[0, 0] == pytest.approx(-7.0) and got[1, 1] == pytest.approx(-5.6)
     assert got[0, 1] == pytest.approx(sum(math.log10((10**a + 10**b) / 2) for a, b in [(-1, -3), (-2, -2.1), (-4, -0.5)]))
     assert gt.log10_sum(df, ["locus"], "lik").first().total == pytest.approx(math.log10(sum(10**v for *_, v in lik)))
+
+
+def test_reference_confidence(spark):
+    from strandloom.kernels import genotyping as kernel
+
+    pile = [("A", 30), ("A", 20), ("C", 25), ("A", 12)]
+    df = spark.createDataFrame([("k", b, q, "A") for b, q in pile] + [("k", None, 9, "A"), ("k", "A", 0, "A")], "k string, b string, q int, r string")
+    r = gt.reference_confidence(df, ["k"], "b", "q", "r").first()
+    want = kernel.reference_confidence("AACA", [30, 20, 25, 12], "A")
+    assert r.depth == 4 and [r.hom_ref, r.het, r.hom_alt] == [pytest.approx(x) for x in want]
+    assert gt.reference_confidence(df.limit(0), ["k"], "b", "q", "r").count() == 0

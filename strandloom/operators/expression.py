@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.storage import materialise
+
 
 def gene_counts(hits: DataFrame, read: str, gene: str, sample: str) -> DataFrame:
     """``sample, gene, value``: reads per gene, counting the reads that hit exactly one feature."""
@@ -91,10 +93,12 @@ def tmm_factors(m: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05, weighte
     Genes with a 0 in either sample are left out; a sample without genes left, or with no M value
     away from 0, has the raw factor 1.
     """
-    full = filled(m)
+    # the matrix is read several times below, and its rows may come from a long plan
+    full = materialise(filled(m), "matrix")
     sizes = full.groupBy("sample").agg(F.sum("value").alias("n_"))
+    reference = tmm_reference(full)
     full = full.join(sizes, "sample")
-    ref = full.join(tmm_reference(filled(m)), "sample").select("gene", F.col("value").alias("r"), F.col("n_").alias("nr"))
+    ref = full.join(reference, "sample").select("gene", F.col("value").alias("r"), F.col("n_").alias("nr"))
     both = full.join(ref, "gene").filter("value > 0 and r > 0")
     o, n, r, nr = (F.col(c).cast("double") for c in ("value", "n_", "r", "nr"))
     mv = F.log2((o / n) / (r / nr))

@@ -172,17 +172,21 @@ def consensus(reference: DataFrame, variants: DataFrame) -> DataFrame:
     v = variants.dropna(subset=["chrom", "pos", "ref", "alt"]).groupBy("chrom").agg(
         F.sort_array(F.collect_set(F.struct(F.col("pos").cast("long").alias("pos"), F.when(F.col("ref") == ".", "").otherwise(F.col("ref")).alias("ref"), F.when(F.col("alt") == ".", "").otherwise(F.split("alt", ",")[0]).alias("alt")))).alias("v_")
     )
-    zero = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
-
-    def splice(state: Column, x: Column) -> Column:
-        begin = x["pos"] - 1
-        fits = (begin >= state["at"]) & (begin <= F.length("seq"))
-        before = F.substr(F.col("seq"), (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int"))
-        return F.struct(
-            F.when(fits, F.concat(state["parts"], F.array(before, x["alt"]))).otherwise(state["parts"]).alias("parts"),
-            F.when(fits, begin + F.length(x["ref"])).otherwise(state["at"]).alias("at"),
-        )
-
-    done = reference.select("chrom", "seq").join(v, "chrom", "left").withColumn("s_", F.aggregate(F.coalesce("v_", F.array().cast(v.schema["v_"].dataType)), zero, splice))
-    rest = F.substr(F.col("seq"), (F.col("s_.at") + 1).cast("int"), F.greatest(F.length("seq") - F.col("s_.at"), F.lit(0)).cast("int"))
-    return done.select("chrom", F.concat(F.array_join("s_.parts", ""), rest).alias("seq"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column(2)
+            pos, ref, alt = (x.to_pylist() for x in held.values.flatten())
+            ends, out = held.offsets.to_pylist(), []
+            for i, seq in enumerate(b.column(1).to_pylist()):
+                parts, at = [], 0
+                for k in range(ends[i], ends[i + 1]) if seq is not None else ():
+                    if at <= pos[k] - 1 <= len(seq):
+                        parts += (seq[at : pos[k] - 1], alt[k])
+                        at = pos[k] - 1 + len(ref[k])
+                out.append(None if seq is None else "".join([*parts, seq[at:]]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["chrom", "seq"])
+
+    kind = reference.schema["chrom"].dataType.simpleString()
+    none = F.array().cast(v.schema["v_"].dataType)
+    return reference.select("chrom", "seq").join(v, "chrom", "left").select("chrom", "seq", F.coalesce("v_", none).alias("v_")).mapInArrow(run, f"chrom {kind}, seq string")

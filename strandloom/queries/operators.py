@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as cg
@@ -14,6 +14,7 @@ from strandloom.operators import genome as gn
 from strandloom.operators import interval_join as ij
 from strandloom.operators.skew import usual_name
 from strandloom.queries.registry import Registry, table
+from strandloom.storage import materialise
 
 REG = Registry()
 
@@ -306,6 +307,26 @@ def variant_consensus(spark, d):
     return gn.consensus(gn.best_per_place(f, ["chrom"], [F.col("rec_id")]), v)
 
 
+def _laid(spark, d) -> DataFrame:
+    """``chrom, seq, length_bp, n_bases``: every record laid end to end on the usual chromosomes in turn (records name none of them)."""
+    names = table(spark, d, "contig_names").groupBy(F.col("chrom").alias("usual")).agg(F.max("length_bp").alias("length_bp"))
+    numbered = names.withColumn("k", F.row_number().over(Window.orderBy("usual")) - 1)
+    f = fasta(spark, d).filter("s <> ''").withColumn("k", F.pmod(F.col("rec_id"), names.agg(F.count(F.lit(1))).scalar()))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rec_id", "s"))), lambda x: x["s"]), "")
+    laid = f.groupBy("k").agg(text.alias("seq"))
+    return laid.join(numbered, "k").select(F.col("usual").alias("chrom"), "seq", "length_bp", F.length("seq").cast("long").alias("n_bases"))
+
+
+@REG.add("variant_consensus_whole")
+def variant_consensus_whole(spark, d):
+    """Every variant of a known chromosome in all records; positions are scaled from the chromosome's length to the bases laid on it."""
+    t = gn.best_per_place(table(spark, d, "vcf_variants"), ["var_id"], [F.col(c) for c in ("loaded_at", "pos", "chrom", "ref", "alt")]).filter("pos is not null")
+    t = usual_name(F.col("chrom"), table(spark, d, "contig_names"), t).select(F.col("usual").alias("chrom"), F.col("pos").alias("at"), F.upper("ref").alias("ref"), "alt")
+    laid = materialise(_laid(spark, d), "laid")
+    v = t.join(laid.select("chrom", "length_bp", "n_bases"), "chrom").select("chrom", F.expr("(at - 1) * n_bases div length_bp + 1").alias("pos"), "ref", "alt")
+    return gn.consensus(laid.select("chrom", "seq"), v)
+
+
 # Genotyping aggregates
 
 _LIK = "l as (select distinct aln_id as read, k as allele, -((aln_id * (k + 3)) % 17) / 5.0::double as lik, aln_id % 200 as locus from sam_alignments, unnest([0, 1, 2]) as x(k))"

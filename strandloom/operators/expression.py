@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.order import ranked_within
 from strandloom.storage import materialise
 
 
@@ -71,8 +72,7 @@ def filled(m: DataFrame) -> DataFrame:
 def quantile_normalised(m: DataFrame) -> DataFrame:
     """``sample, gene, value, normalised`` of the filled matrix: the mean over samples of the values
     at equal rank; equal values of a sample share the mean of their ranks' means."""
-    by = Window.partitionBy("sample").orderBy("value", "gene")
-    ranked = filled(m).withColumn("rank_", F.row_number().over(by))
+    ranked = ranked_within(filled(m), "sample", ["value", "gene"], "rank_")
     means = ranked.groupBy("rank_").agg(F.avg("value").alias("mean_"))
     joined = ranked.join(means, "rank_")
     ties = joined.groupBy("sample", "value").agg(F.avg("mean_").alias("normalised"))
@@ -105,8 +105,8 @@ def tmm_factors(m: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05, weighte
     av = (F.log2(o / n) + F.log2(r / nr)) / 2
     var = (n - o) / n / o + (nr - r) / nr / r
     vals = both.select("sample", "gene", mv.alias("m"), av.alias("a"), var.alias("v")).filter(F.col("a") > least_a)
-    all_ = Window.partitionBy("sample")
-    ranked = vals.select("*", F.count(F.lit(1)).over(all_).alias("k"), (F.row_number().over(all_.orderBy("m", "gene")) - 1).alias("rm"), (F.row_number().over(all_.orderBy("a", "gene")) - 1).alias("ra"), F.max(F.abs("m")).over(all_).alias("far"))
+    of_sample = vals.groupBy("sample").agg(F.count(F.lit(1)).alias("k"), F.max(F.abs("m")).alias("far"))
+    ranked = ranked_within(ranked_within(vals, "sample", ["m", "gene"], "rm"), "sample", ["a", "gene"], "ra").join(of_sample, "sample").withColumns({"rm": F.col("rm") - 1, "ra": F.col("ra") - 1})
 
     def within(rank: str, share: float) -> Column:
         cut = F.floor(F.col("k") * share)

@@ -36,6 +36,13 @@ def ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return t.join(offsets, "part_").select(*names, (F.col("local_") + F.col("offset_")).alias(name))
 
 
+def ranked_within(df: DataFrame, key: str, by: list[str], name: str) -> DataFrame:
+    """``df`` with the 1-based place of each row among those of its ``key``, by range partitions of (key, by): a heavy key isn't one task."""
+    placed = ranked(df, [key, *by], "place_")
+    first = placed.groupBy(key).agg(F.min("place_").alias("first_")).withColumnRenamed(key, "k_")
+    return placed.join(first, F.col(key).eqNullSafe(F.col("k_"))).select(*df.columns, (F.col("place_") - F.col("first_") + 1).alias(name))
+
+
 def differences(xs: Column) -> Column:
     """Each value of an array less the one before, the first as it is."""
     return F.transform(xs, lambda x, i: x - F.when(i > 0, F.get(xs, i - 1)).otherwise(0))

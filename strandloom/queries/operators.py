@@ -121,24 +121,26 @@ _EXPR = "m as (select coalesce(strand, '.') as sample, gene_type || '/' || left(
 _FILL = _EXPR + ", e as (select s.sample, g.gene, coalesce(m.value, 0) as value from (select distinct sample from m) s cross join (select distinct gene from m) g left join m using (sample, gene))"
 
 
-def matrix(spark, d) -> DataFrame:
+def matrix(spark, d, whole: bool = False) -> DataFrame:
+    """Genes are the first three letters of a name, as in ``_EXPR``, or whole names."""
     t = table(spark, d, "bedsix_genes").filter("end_pos > start_pos and start_pos >= 0 and gene_name is not null and gene_type is not null")
-    return t.groupBy(F.coalesce("strand", F.lit(".")).alias("sample"), F.concat_ws("/", "gene_type", F.left("gene_name", F.lit(3))).alias("gene")).agg(F.sum(F.col("end_pos") - F.col("start_pos")).cast("double").alias("value"))
+    gene = F.col("gene_name") if whole else F.left("gene_name", F.lit(3))
+    return t.groupBy(F.coalesce("strand", F.lit(".")).alias("sample"), F.concat_ws("/", "gene_type", gene).alias("gene")).agg(F.sum(F.col("end_pos") - F.col("start_pos")).cast("double").alias("value"))
 
 
 @REG.add("expression_filled", f"with {_FILL} select * from e")
-def expression_filled(spark, d):
-    return ex.filled(matrix(spark, d))
+def expression_filled(spark, d, whole=False):
+    return ex.filled(matrix(spark, d, whole))
 
 
 @REG.add("expression_size_normalised", f"with {_EXPR} select sample, gene, round(value / sum(value) over (partition by sample), 9) as value from m")
-def expression_size_normalised(spark, d):
-    return ex.size_normalised(matrix(spark, d)).withColumn("value", F.round("value", 9))
+def expression_size_normalised(spark, d, whole=False):
+    return ex.size_normalised(matrix(spark, d, whole)).withColumn("value", F.round("value", 9))
 
 
 @REG.add("expression_quantile_normalised", f"with {_FILL}, r as (select *, row_number() over (partition by sample order by value, gene) as k from e), a as (select *, avg(value) over (partition by k) as mean from r) select sample, gene, value, round(avg(mean) over (partition by sample, value), 6) as normalised from a")
-def expression_quantile_normalised(spark, d):
-    return ex.quantile_normalised(matrix(spark, d)).withColumn("normalised", F.round("normalised", 6))
+def expression_quantile_normalised(spark, d, whole=False):
+    return ex.quantile_normalised(matrix(spark, d, whole)).withColumn("normalised", F.round("normalised", 6))
 
 
 _TMM = _FILL + """, s as (select sample, sum(value) as n, quantile_cont(value, 0.75) / sum(value) as q from e group by sample),
@@ -151,18 +153,18 @@ _TMM = _FILL + """, s as (select sample, sum(value) as n, quantile_cont(value, 0
 
 
 @REG.add("expression_tmm_factors", f"with {_TMM} select sample, round(raw, 6) as raw, round(raw / pow(2, (select avg(log2(raw)) from t)), 6) as factor from t")
-def expression_tmm_factors(spark, d):
-    return ex.tmm_factors(matrix(spark, d)).select("sample", F.round("raw", 6).alias("raw"), F.round("factor", 6).alias("factor"))
+def expression_tmm_factors(spark, d, whole=False):
+    return ex.tmm_factors(matrix(spark, d, whole)).select("sample", F.round("raw", 6).alias("raw"), F.round("factor", 6).alias("factor"))
 
 
 @REG.add("expression_tmm_reference", f"with {_TMM} select ref as sample from ref")
-def expression_tmm_reference(spark, d):
-    return ex.tmm_reference(ex.filled(matrix(spark, d)))
+def expression_tmm_reference(spark, d, whole=False):
+    return ex.tmm_reference(ex.filled(matrix(spark, d, whole)))
 
 
 @REG.add("expression_tmm_normalised", f"with {_TMM} select sample, gene, round(value / (raw / pow(2, (select avg(log2(raw)) from t))), 4) as value from e join t using (sample)")
-def expression_tmm_normalised(spark, d):
-    return ex.tmm_normalised(matrix(spark, d)).withColumn("value", F.round("value", 4))
+def expression_tmm_normalised(spark, d, whole=False):
+    return ex.tmm_normalised(matrix(spark, d, whole)).withColumn("value", F.round("value", 4))
 
 
 _TAILED = """with r as (select library as gene, upper(seq) as seq, case when read_id % 3 = 0 and length(seq) > 30 then length(seq) - read_id % 5 - 1 else -1 end as tail_pos, read_id % 4 as hits from fastq_reads where seq is not null and seq <> '' and library is not null),
@@ -193,11 +195,20 @@ def expression_tailed_sum(spark, d):
 
 
 @REG.add("expression_add_scale", f"with {_EXPR} select sample, gene, round(value + value * 0.5, 6) as value from m")
-def expression_add_scale(spark, d):
-    m = matrix(spark, d)
+def expression_add_scale(spark, d, whole=False):
+    m = matrix(spark, d, whole)
     return ex.add(m, ex.scale(m, 0.5), ["sample", "gene"]).withColumn("value", F.round("value", 6))
 
 
+def _by_whole_gene(name: str) -> None:
+    f = REG.queries[name]
+    REG.add(f"{name}_whole", REG.sql[name].replace("left(gene_name, 3)", "gene_name"))(lambda spark, d: f(spark, d, True))
+
+
+for _name in ("filled", "size_normalised", "quantile_normalised", "tmm_factors", "tmm_reference", "tmm_normalised", "add_scale"):
+    _by_whole_gene(f"expression_{_name}")
+
+
 # Genome-wide
 
 _FASTA = "select rec_id, upper(regexp_replace(seq, '\\s', '', 'g')) as s from fasta_records where seq is not null"

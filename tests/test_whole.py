@@ -40,3 +40,47 @@ def test_variant_consensus_whole(spark, tmp_path):
         want[c] = out + seq[at:]
     got = entry.queries()["variant_consensus_whole"](spark, d)
     assert {r.chrom: r.seq for r in got.collect()} == want
+
+
+def test_expression_of_whole_genes(spark, tmp_path):
+    rng = random.Random(6)
+    data = [(rng.choice("+-"), rng.choice(["miRNA", "tRNA"]), f"Nix{rng.randint(1, 40)}", b := rng.randint(0, 50), b + rng.randint(1, 90)) for _ in range(900)]
+    d = saved(spark, tmp_path, bedsix_genes=(data, "strand string, gene_type string, gene_name string, start_pos long, end_pos long"))
+    m = {}
+    for strand, kind, name, b, e in data:
+        m[strand, f"{kind}/{name}"] = m.get((strand, f"{kind}/{name}"), 0) + e - b
+    q = entry.queries()
+    genes = {g for _, g in m}
+    assert len(genes) > 70
+    got = {(r["sample"], r.gene): r.value for r in q["expression_filled_whole"](spark, d).collect()}
+    assert got == {(s, g): m.get((s, g), 0) for s in "+-" for g in genes}
+    ranked = {s: sorted((got[s, g], g) for g in genes) for s in "+-"}
+    mean = [(x[0] + y[0]) / 2 for x, y in zip(ranked["+"], ranked["-"])]
+    for r in q["expression_quantile_normalised_whole"](spark, d).collect():
+        at = [k for k, (v, _) in enumerate(ranked[r["sample"]]) if v == r.value]
+        assert abs(r.normalised - sum(mean[k] for k in at) / len(at)) < 1e-5
+
+
+def test_ranked_within_has_a_heavy_key_in_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from strandloom.operators import order
+
+    rng = random.Random(7)
+    data = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(30)])) for i in range(800)]
+    df = spark.createDataFrame(data, "id long, k string, v long").repartition(5)
+    place = {}
+    for k in ("a", "b", None):
+        for n, x in enumerate(sorted((x for x in data if x[1] == k), key=lambda x: (x[2] is not None, x[2] or 0, x[0])), 1):
+            place[x[0]] = n
+    assert {r.id: r.place for r in order.ranked_within(df, "k", ["v", "id"], "place").collect()} == place
+    before = order.materialise
+    kept = []
+    order.materialise = lambda t, label: kept.append(before(t, label)) or kept[-1]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would become one partition
+    try:
+        order.ranked_within(df, "k", ["v", "id"], "place")
+    finally:
+        order.materialise = before
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert kept[0].filter("k = 'a'").select(F.countDistinct("part_")).first()[0] > 1

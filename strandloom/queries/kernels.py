@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as sq
 from strandloom.kernels import alignment, trimming
+from strandloom.operators import genome as gn
 from strandloom.operators import kernel_ops as ko
 from strandloom.plans import pipe
 from strandloom.queries.registry import Registry, table
+from strandloom.storage import materialise
 
 REG = Registry()
 
@@ -76,30 +78,54 @@ def poa_consensus(spark, d):
     return ko.consensus(t.withColumn("s", turned), "qname", "aln_id", "s").select("cluster", "n_seqs", "consensus")
 
 
-def _pairs(spark, d) -> DataFrame:
-    """A pair of reads from each contig that is long enough, 300 bases apart."""
-    c = contigs(spark, d).filter("length(seq) >= 600")
+def _contig_pairs(spark, d) -> DataFrame:
+    """Pairs of reads 300 bases apart, every 300 bases of each contig; the reads of the tables come from no contig."""
+    c = contigs(spark, d).filter("length(seq) >= 400").withColumn("at", F.explode(F.expr("sequence(1, length(seq) - 399, 300)")))
     q = F.repeat(F.lit("I"), F.lit(100))
-    return c.select("name", F.substr("seq", F.lit(101), F.lit(100)).alias("seq1"), q.alias("qual1"), sq.reverse_complement(F.substr("seq", F.lit(401), F.lit(100))).alias("seq2"), q.alias("qual2"))
+    return c.select(F.concat("name", F.lit(":"), F.col("at").cast("string")).alias("name"), F.substr("seq", "at", F.lit(100)).alias("seq1"), q.alias("qual1"), sq.reverse_complement(F.substr("seq", F.col("at") + 300, F.lit(100))).alias("seq2"), q.alias("qual2"))
+
+
+def _mates(spark, d) -> DataFrame:
+    """Mates that two rows of alignments are to each other, as they were sequenced and with their own qualities."""
+    t = gn.best_per_place(table(spark, d, "sam_alignments").filter("flag & 1 <> 0"), ["aln_id"], [F.col("loaded_at")]).filter("seq is not null and seq not in ('', '*') and qual is not null")
+    back = F.col("flag").bitwiseAND(16) != 0
+    t = t.select("aln_id", "flag", "rname", "pos", "pnext", "tlen", F.when(back, sq.reverse_complement(F.upper("seq"))).otherwise(F.upper("seq")).alias("seq"), F.when(back, F.reverse("qual")).otherwise(F.col("qual")).alias("qual"))
+    a, b = (t.filter(F.col("flag").bitwiseAND(bit) != 0).select([F.col(c).alias(f"{c}{n}") for c in t.columns]) for n, bit in ((1, 64), (2, 128)))
+    met = a.join(b, F.expr("rname1 = rname2 and pnext1 = pos2 and pos1 = pnext2 and tlen1 = -tlen2"))
+    return met.select(F.concat(F.lit("a"), F.col("aln_id1").cast("string"), F.lit("-"), F.col("aln_id2").cast("string")).alias("name"), "seq1", "qual1", "seq2", "qual2")
+
+
+def _pairs(spark, d) -> DataFrame:
+    """All reads zipped with their mates by name, a missing mate being empty, and the mates among the alignments."""
+    t = table(spark, d, "fastq_reads").filter("seq is not null and seq <> ''").select("read_id", F.coalesce(F.regexp_replace("name", "/[12]$", ""), F.lit("")).alias("stem"), F.coalesce(F.col("name").endswith("/2"), F.lit(False)).alias("second"), F.upper("seq").alias("seq"), F.coalesce("qual", F.lit("")).alias("qual")).distinct()
+    # reads of one stem and side stay apart
+    t = t.withColumn("k", F.row_number().over(Window.partitionBy("stem", "second").orderBy("read_id", "seq", "qual")))
+    a, b = (t.filter(F.col("second") == n).select("stem", "k", *[F.col(c).alias(f"{c}{n + 1}") for c in ("read_id", "seq", "qual")]) for n in (False, True))
+    name = F.concat(F.lit("f"), F.coalesce("read_id1", "read_id2").cast("string"))
+    zipped = a.join(b, ["stem", "k"], "full").select(name.alias("name"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("seq1", "qual1", "seq2", "qual2")])
+    return zipped.unionByName(_mates(spark, d))
 
 
 @REG.add("map_pairs")
 def map_pairs(spark, d):
-    rows = _pairs(spark, d).transform(pipe.align(contigs(spark, d)))
+    rows = _pairs(spark, d).unionByName(_contig_pairs(spark, d)).transform(pipe.align(contigs(spark, d)))
     return rows.select("qname", "flag", "rname", "pos", "mapq", "cigar", "tlen")
 
 
 @REG.add("map_small_rna")
 def map_small_rna(spark, d):
-    body = F.concat(F.substr("seq", F.lit(101), F.lit(25)), F.lit("CCA"))
-    r = contigs(spark, d).filter("length(seq) >= 200").select("name", body.alias("seq"), F.repeat(F.lit("I"), F.lit(28)).alias("qual"))
+    """All reads, and 25 bases with a tail from every 100 of each contig."""
+    body = F.concat(F.substr("seq", "at", F.lit(25)), F.lit("CCA"))
+    c = contigs(spark, d).filter("length(seq) >= 25").withColumn("at", F.explode(F.expr("sequence(1, length(seq) - 24, 100)")))
+    made = c.select(F.concat("name", F.lit(":"), F.col("at").cast("string")).alias("name"), body.alias("seq"), F.repeat(F.lit("I"), F.lit(28)).alias("qual"))
+    r = reads(spark, d).select(F.concat(F.lit("f"), F.col("read_id").cast("string")).alias("name"), F.col("s").alias("seq"), "qual").unionByName(made)
     rows = r.transform(pipe.align_small_rna(contigs(spark, d)))
     return rows.select("qname", "flag", "rname", "pos", "mapq", "cigar")
 
 
 @REG.add("call_variants")
 def call_variants(spark, d):
-    """Reads over one stretch of each contig, half of them with a base changed."""
+    """From what is mapped of all pairs, and from reads over one stretch of each contig, half of them with a base changed."""
     c = contigs(spark, d).filter("length(seq) >= 700")
     starts = c.select("name", "seq", F.explode(F.sequence(F.lit(330), F.lit(399), F.lit(4))).alias("at"))
     changed = F.concat(F.left("seq", F.lit(410)), F.translate(F.substr("seq", F.lit(411), F.lit(1)), "ACGTN", "CGTAA"), F.substr("seq", F.lit(412), F.length("seq")))
@@ -108,7 +134,8 @@ def call_variants(spark, d):
         F.concat("name", F.lit(":"), F.col("at").cast("string")).alias("qname"), F.lit(99).alias("flag"), F.col("name").alias("rname"), (F.col("at") + 1).cast("long").alias("pos"), F.lit(60).alias("mapq"),
         F.lit("100M").alias("cigar"), F.lit("=").alias("rnext"), F.lit(0).cast("long").alias("pnext"), F.lit(0).alias("tlen"), F.substr(body, F.col("at") + 1, F.lit(100)).alias("seq"), F.repeat(F.lit("I"), F.lit(100)).alias("qual"),
     )
-    called = r.transform(pipe.call(contigs(spark, d)))
+    mapped = materialise(_pairs(spark, d).transform(pipe.align(contigs(spark, d))), "mapped")
+    called = mapped.select(*r.columns).unionByName(r).transform(pipe.call(contigs(spark, d)))
     return called.select("chrom", "pos", "ref", F.array_join("alt", ",").alias("alt"), "genotype", F.round("qual", 2).alias("qual"))
 
 
@@ -121,9 +148,20 @@ def _tailed(spark, d) -> DataFrame:
     return t.select(F.col("read_id").cast("string").alias("name"), cut(F.concat(insert, F.lit(trimming.ADAPTERS[0]), F.reverse("s"))).alias("seq1"), q.alias("qual1"), cut(F.concat(sq.reverse_complement(insert), F.lit(trimming.ADAPTERS[1]), F.reverse("s"))).alias("seq2"), q.alias("qual2"))
 
 
+def _inserts(spark, d) -> DataFrame:
+    """Every read as a whole insert that both mates read through, with its own qualities, and the mates among the alignments."""
+    q = F.coalesce("qual", F.lit(""))
+    more = [F.repeat(F.lit("I"), F.lit(len(a))) for a in trimming.ADAPTERS]
+    through = reads(spark, d).select(
+        F.concat(F.lit("f"), F.col("read_id").cast("string")).alias("name"), F.concat("s", F.lit(trimming.ADAPTERS[0])).alias("seq1"), F.concat(q, more[0]).alias("qual1"),
+        F.concat(sq.reverse_complement(F.col("s")), F.lit(trimming.ADAPTERS[1])).alias("seq2"), F.concat(F.reverse(q), more[1]).alias("qual2"),
+    )
+    return through.unionByName(_mates(spark, d))
+
+
 @REG.add("trim_pairs")
 def trim_pairs(spark, d):
-    return _tailed(spark, d).transform(lambda p: ko.trim_pairs(p, ko.detect_adapters(p))).select("name", "seq1", "seq2", "kept")
+    return _inserts(spark, d).transform(lambda p: ko.trim_pairs(p, ko.detect_adapters(p))).select("name", "seq1", "qual1", "seq2", "qual2", "kept")
 
 
 @REG.add("trim_single")

@@ -84,3 +84,28 @@ def test_ranked_within_has_a_heavy_key_in_several_tasks(spark):
         order.materialise = before
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert kept[0].filter("k = 'a'").select(F.countDistinct("part_")).first()[0] > 1
+
+
+def test_mapping_queries_take_every_read(spark, tmp_path):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("ACGT", k=n))
+    contigs = [(i, word(900)) for i in range(3)]
+    ref = dict(contigs)
+    back = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    reads = [(1, "q/1", ref[1][50:190], "F" * 140), (2, "q/2", back(ref[1][400:520]), "#" * 120), (3, "alone/1", ref[2][700:830], "F" * 130), (4, "none", word(120), "F" * 120)]
+    a, b = ref[0][500:640], ref[0][700:820]
+    sam = [(11, "x", 97, "chr1", 10, 210, 320, a, "F" * 140, 1), (12, "y", 145, "chr1", 210, 10, -320, b, "#" * 120, 1), (13, "z", 0, "chr1", 5, 0, 0, a, "F" * 140, 1)]
+    d = saved(
+        spark, tmp_path, fasta_records=(contigs, "rec_id long, seq string"), fastq_reads=(reads, "read_id long, name string, seq string, qual string"),
+        sam_alignments=(sam, "aln_id long, qname string, flag int, rname string, pos long, pnext long, tlen int, seq string, qual string, loaded_at long"),
+    )
+    q = entry.queries()
+    got = {(r.qname, bool(r.flag & 128)): (r.rname, r.pos, r.cigar) for r in q["map_pairs"](spark, d).collect()}
+    assert got["f1", False] == ("r000000001", 51, "140M") and got["f1", True] == ("r000000001", 401, "120M")
+    assert got["f3", False] == ("r000000002", 701, "130M") and got["f4", False][0] == "*"
+    assert got["a11-12", False] == ("r000000000", 501, "140M") and got["a11-12", True] == ("r000000000", 701, "120M")
+    small = {(r.qname, r.rname, r.pos) for r in q["map_small_rna"](spark, d).collect()}
+    assert {("f1", "r000000001", 51), ("f3", "r000000002", 701)} <= small
+    trimmed = {r.name: (r.seq1, r.qual1, r.kept) for r in q["trim_pairs"](spark, d).collect()}
+    assert {f"f{i}": (s, x, len(s)) for i, _, s, x in reads}.items() <= trimmed.items() and trimmed["a11-12"][2] == 120
+    assert q["call_variants"](spark, d).count() >= 3

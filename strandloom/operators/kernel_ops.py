@@ -133,28 +133,47 @@ def reference_blocks(reference: DataFrame, name: str = "name", seq: str = "seq",
 def map_small_rna(reads: DataFrame, reference: DataFrame, options: tails.Options = tails.Options()) -> DataFrame:
     """SAM rows of ``name, seq, qual`` reads; a row for each hit.
 
-    Over several blocks of a large reference a read keeps the hits of the blocks with its longest
-    match and, among those, the fewest mismatches.
+    Over several blocks of a large reference a read keeps the hits of the blocks with its best
+    match (see ``tails.Mapped.rank``); its hits are counted over them for ``most_hits`` and NH.
     """
-    found = None
-    for block in reference_blocks(reference):
+    found, blocks = None, reference_blocks(reference)
+    key = ["qname", "seq_", "qual_"]
+    more = {"seq_": pa.string(), "qual_": pa.string(), "rank_": pa.list_(pa.int32()), "found_": pa.int64(), "strand_": pa.int64(), "block_": pa.int32()}
+    for n, block in enumerate(blocks):
         shared = reads.sparkSession.sparkContext.broadcast(tails.Genome(block))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, n=n) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(0, b.num_rows, 2000):
                     part = b.slice(i, 2000)
                     triples = list(zip(*(["" if x is None else x for x in part.column(c).to_pylist()] for c in range(3))))
-                    yield _batch([r for pair in tails.map_reads(shared.value, triples, options) for m in pair for r in tails.sam_rows(m)], _SAM, SAM_NAMES)
-
-        rows = reads.select("name", "seq", "qual").mapInArrow(run, schemas.SAM)
+                    out = []
+                    for pair, (_, seq, qual) in zip(tails.map_reads(shared.value, triples, options), triples):
+                        for m in pair:
+                            out += [(*r, seq, qual, m.rank, m.found, len(m.hits), n) for r in tails.sam_rows(m)]
+                        # a read with too many hits here still counts against other blocks
+                        if (m := pair[0]).found > options.most_hits:
+                            out.append((m.name, 0, None, *[None] * 8, None, seq, qual, m.rank, m.found, 0, n))
+                    yield _batch(out, [*_SAM, *more.values()], [*SAM_NAMES, *more])
+
+        rows = reads.select("name", "seq", "qual").mapInArrow(run, schemas.SAM + ", seq_ string, qual_ string, rank_ array<int>, found_ long, strand_ long, block_ int")
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         return reads.sparkSession.createDataFrame([], schemas.SAM)
-    missed = F.size(F.filter("optionals", lambda t: t.startswith("MD:Z")))
-    rank = F.struct((-F.col("mapq")).alias("a"), missed.alias("b"))
-    best = found.groupBy("qname").agg(F.min(rank).alias("best_")).withColumnRenamed("qname", "q_")
-    return found.join(best, F.col("qname") == F.col("q_")).filter(rank == F.col("best_")).drop("q_", "best_")
+    if len(blocks) == 1:
+        return found.filter("rname is not null").select(*SAM_NAMES)
+    best = found.groupBy(*key).agg(F.min("rank_").alias("best_"))
+    kept = found.join(best, key).filter("rank_ = best_")
+    sides = {"forward_": F.col("flag") == 0, "reverse_": F.col("flag") == 16}
+    each = kept.groupBy(*key, "block_").agg(F.max("found_").alias("found_"), *[F.max(F.when(x, F.col("strand_"))).alias(k) for k, x in sides.items()])
+    total = each.groupBy(*key).agg(F.sum("found_").alias("total_"), *[F.sum(k).alias(k) for k in sides], *[F.min(F.when(F.col(k) > 0, F.col("block_"))).alias(f"first_{k}") for k in sides])
+    kept = kept.join(total, key).filter((F.col("total_") <= options.most_hits) & F.col("rname").isNotNull())
+    side = lambda name: F.when(sides["forward_"], F.col(f"{name}forward_")).otherwise(F.col(f"{name}reverse_"))
+    number = F.lit(1) if options.adapter5 else side("")
+    if options.adapter5:  # only the first hit of a strand is taken on
+        kept = kept.filter(F.col("block_") == side("first_"))
+    tags = F.concat(F.array(F.concat(F.lit("NH:i:"), number.cast("string"))), F.expr("slice(optionals, 2, size(optionals))"))
+    return kept.withColumn("optionals", tags).select(*SAM_NAMES)
 
 
 def map_pairs(pairs: DataFrame, reference: DataFrame) -> DataFrame:

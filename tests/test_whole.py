@@ -109,3 +109,28 @@ def test_mapping_queries_take_every_read(spark, tmp_path):
     trimmed = {r.name: (r.seq1, r.qual1, r.kept) for r in q["trim_pairs"](spark, d).collect()}
     assert {f"f{i}": (s, x, len(s)) for i, _, s, x in reads}.items() <= trimmed.items() and trimmed["a11-12"][2] == 120
     assert q["call_variants"](spark, d).count() >= 3
+
+
+def test_small_rna_counts_hits_over_blocks(spark, monkeypatch):
+    from strandloom.operators import kernel_ops as ko
+    from tests.conftest import rows
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("ACGT", k=n))
+    back = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    copies = {"six": (6, 6), "many": (11, 2), "two": (1, 1), "five": (5, 3), "swap": (0, 1), "alone": (1, 0)}
+    words = {k: word(30) for k in copies}
+    chroms = [["", ""][i] + "".join(word(20) + (back(words[k]) if k == "five" and i else words[k]) for k, n in copies.items() for _ in range(n[i])) + word(20) for i in range(2)]
+    s = words["swap"]
+    chroms[0] += s[:24] + ("A" if s[24] != "A" else "C") + s[25:] + word(20)
+    reference = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(chroms)], "name string, seq string")
+    reads = spark.createDataFrame([(k, w, "I" * 30) for k, w in words.items()] + [("alone", words["two"], "I" * 30)], "name string, seq string, qual string")
+    whole = rows(ko.map_small_rna(reads, reference))
+    original, most = ko.reference_blocks, max(map(len, chroms))
+    assert len(original(reference, most=most)) == 2
+    monkeypatch.setattr(ko, "reference_blocks", lambda r: original(r, most=most))
+    parted = rows(ko.map_small_rna(reads, reference))
+    assert parted == whole
+    n = {k: sum(r[0] == k for r in parted) for k in copies}
+    assert n == {"six": 0, "many": 0, "two": 2, "five": 8, "swap": 1, "alone": 3}
+    assert {r[-1][0] for r in parted if r[0] == "two"} == {"NH:i:2"}

@@ -134,3 +134,21 @@ def test_small_rna_counts_hits_over_blocks(spark, monkeypatch):
     n = {k: sum(r[0] == k for r in parted) for k in copies}
     assert n == {"six": 0, "many": 0, "two": 2, "five": 8, "swap": 1, "alone": 3}
     assert {r[-1][0] for r in parted if r[0] == "two"} == {"NH:i:2"}
+
+
+def test_mates_are_rescued_beside_every_equal_place():
+    from strandloom.kernels import aligner
+
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choices("ACGT", k=n))
+    copy, parts = word(150), [word(2500) for _ in range(60)]
+    text = "".join(p + copy for p in parts) + word(900)
+    genome = aligner.Genome([("c", text)])
+    at = [i * 2650 + 2500 for i in range(60)]
+    for k in (3, 7, 45):
+        mate = list(text[at[k] + 300 : at[k] + 400])
+        for i in range(10, 100, 15):  # no seed of 19 bases is left
+            mate[i] = "A" if mate[i] != "A" else "C"
+        first, second = aligner.map_pairs(genome, [(("q", copy[:100], "I" * 100), ("q", aligner.revcomp("".join(mate)), "I" * 100))])[0]
+        assert first[3] == at[k] + 1 and abs(second[3] - at[k] - 301) <= 10
+    assert len(aligner.candidates(genome, [copy[:100]])[0]) == 60

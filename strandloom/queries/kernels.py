@@ -35,17 +35,23 @@ def align_global_edits(spark, d):
     return ko.align_pairs(t, "read_id", "a", "b", _UNIT, "global").select(F.col("rec_key").alias("read_id"), "score")
 
 
+@REG.add("align_global_edits_whole", _READS + " select read_id, -levenshtein(s, s[8:])::bigint as score from r")
+def align_global_edits_whole(spark, d):
+    """Each whole read with itself from its eighth base on."""
+    t = reads(spark, d).select("read_id", "s", F.substr("s", F.lit(8), F.length("s")).alias("b"))
+    return ko.align_pairs(t, "read_id", "s", "b", _UNIT, "global").select(F.col("rec_key").alias("read_id"), "score")
+
+
 @REG.add("align_overhang")
 def align_overhang(spark, d):
-    """Each read's middle against the whole read."""
-    t = reads(spark, d).filter("length(s) >= 90").select("read_id", "s", F.substr("s", F.lit(11), F.lit(60)).alias("part"))
+    """What follows a read's tenth base, with an adapter behind it, against the whole read."""
+    t = reads(spark, d).select("read_id", "s", F.concat(F.substr("s", F.lit(11), F.length("s")), F.lit(trimming.ADAPTERS[0])).alias("part"))
     return ko.align_pairs(t, "read_id", "s", "part").select(F.col("rec_key").alias("read_id"), "score", "begin_at", "cigar")
 
 
-
 @REG.add("align_local")
 def align_local(spark, d):
-    t = reads(spark, d).select("read_id", "s", F.concat(F.lit("ACGTACGT"), F.substr("s", F.lit(21), F.lit(50)), F.lit("TTTT")).alias("part"))
+    t = reads(spark, d).select("read_id", "s", F.concat(F.lit("ACGTACGT"), "s", F.lit("TTTT")).alias("part"))
     return ko.align_pairs(t, "read_id", "s", "part", alignment.STRIPED, "local").select(F.col("rec_key").alias("read_id"), "score", "begin_at", "end_at", "cigar")
 
 
@@ -61,11 +67,11 @@ def suffix_order_prefix(spark, d):
 
 @REG.add("pairhmm_likelihoods")
 def pairhmm_likelihoods(spark, d):
-    """Each read given its first 100 bases, those with a base changed, and with one left out."""
-    t = reads(spark, d).filter("length(s) >= 100 and length(qual) = length(s)")
-    r = t.select(F.col("read_id").alias("region"), F.col("read_id").alias("read"), F.substr("s", F.lit(11), F.lit(60)).alias("seq"), F.substr("qual", F.lit(11), F.lit(60)).alias("qual"))
-    body = F.left("s", F.lit(100))
-    ways = F.array(body, F.concat(F.left(body, F.lit(39)), F.translate(F.substr(body, F.lit(40), F.lit(1)), "ACGT", "CGTA"), F.substr(body, F.lit(41), F.lit(60))), F.concat(F.left(body, F.lit(39)), F.substr(body, F.lit(41), F.lit(60))))
+    """Each whole read given its own bases, those with the middle one changed, and with it left out; qualities missing at its end are the lowest."""
+    t = reads(spark, d).withColumn("mid", F.expr("cast((length(s) + 1) div 2 as int)"))
+    r = t.select(F.col("read_id").alias("region"), F.col("read_id").alias("read"), F.col("s").alias("seq"), F.rpad(F.coalesce("qual", F.lit("")), F.length("s"), F.lit("!")).alias("qual"))
+    head, rest = F.left("s", F.col("mid") - 1), F.substr("s", F.col("mid") + 1, F.length("s"))
+    ways = F.array(F.col("s"), F.concat(head, F.translate(F.substr("s", "mid", F.lit(1)), "ACGT", "CGTA"), rest), F.concat(head, rest))
     h = t.select(F.col("read_id").alias("region"), F.posexplode(ways).alias("haplotype", "seq"))
     return ko.haplotype_likelihoods(r, h).select("read", "haplotype", F.round("lik", 6).alias("lik"))
 

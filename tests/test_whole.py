@@ -152,3 +152,29 @@ def test_mates_are_rescued_beside_every_equal_place():
         first, second = aligner.map_pairs(genome, [(("q", copy[:100], "I" * 100), ("q", aligner.revcomp("".join(mate)), "I" * 100))])[0]
         assert first[3] == at[k] + 1 and abs(second[3] - at[k] - 301) <= 10
     assert len(aligner.candidates(genome, [copy[:100]])[0]) == 60
+
+
+def test_alignment_queries_take_whole_reads(spark, tmp_path):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choices("ACGT", k=n))
+    reads = [(1, word(140), "F" * 140), (2, word(60), "F" * 60), (3, word(110), "F" * 90), (4, "A", "F")]
+    reads.append((5, reads[0][1][:130] + "N" * 10, "F" * 130 + "#" * 10))
+    d = saved(spark, tmp_path, fastq_reads=(reads, "read_id long, seq string, qual string"))
+    q = entry.queries()
+    size = {i: len(s) for i, s, _ in reads}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    assert {r.read_id: r.score for r in q["align_global_edits_whole"](spark, d).collect()} == {i: -edits(s, s[7:]) for i, s, _ in reads}
+    assert {r.read_id for r in q["align_overhang"](spark, d).collect()} == set(size)
+    local = {r.read_id: r for r in q["align_local"](spark, d).collect()}
+    assert all(local[i].score == size[i] and local[i].end_at - local[i].begin_at == size[i] for i in (1, 2, 3))
+    lik = {(r.read, r.haplotype): r.lik for r in q["pairhmm_likelihoods"](spark, d).collect()}
+    assert {r for r, _ in lik} == set(size) and len(lik) == 15
+    assert all(lik[i, 0] > lik[i, 1] for i in (1, 2, 3)) and lik[1, 0] != lik[5, 0]

@@ -7,8 +7,11 @@ the next j. The ranks are computed once for each distinct element of a batch and
 the batch advance one j at a time, so the early stop is a shrinking set of records.
 
 Words that very many records share (adapters) would fill a few buckets with unrelated records. They
-are counted over all data and left out of the signature, never out of the similarity; records made
-up mainly of such words get a signature of all their words besides.
+are counted over all data and left out of the signature, never out of the similarity. Leaving them
+out lowers the similarity that the signature sees: of a pair at the threshold s, one of whose
+records has the share c of common words, it is still (s - c) / (1 - c) at least, so a record gets as
+many bands as that takes. Bands are nested, so two records meet on those of the smaller share.
+Records with so large a share that this is no use get a signature of all their words besides.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from strandloom.storage import materialise
 
 WORD = 8
 ROWS = 3
-BANDS = 24
+#: The least chance of a pair at the threshold to share a bucket; it sets the number of bands.
+CHANCE = 0.965
 #: A word is common if it stands in at least this share of the classes.
 COMMON = 0.01
-#: Records with at least this share of uncommon words get a signature of those; below the second, one of all words.
-SOME, MOST = 0.4, 0.7
+#: From this share of common words on, in parts of the threshold, a record gets a signature of all its words too.
+FULL = 0.6
 #: Rows of a bucket are compared with the bucket's first and with the preceding ones as they stream by; that is
 #: all pairs in buckets up to PRECEDING + 1 rows. The other pairs of larger buckets are formed block by block.
 FIRST, PRECEDING, BLOCK = 8, 40, 64
@@ -90,35 +94,50 @@ def small_code(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return y.astype(np.int64), back == words
 
 
+def bands_for(threshold: float, share: np.ndarray | float) -> np.ndarray:
+    """How many bands a record with this share of common words needs (see above)."""
+    c = np.minimum(share, FULL * threshold)
+    seen = (threshold - c) / (1 - c)
+    return np.ceil(np.log(1 - CHANCE) / np.log1p(-np.minimum(seen, 1 - 1e-9) ** ROWS)).astype(np.int64)
+
+
+def _seeded(words: np.ndarray, block: int) -> np.ndarray:
+    """Other elements for each block, so that the blocks' registers are independent."""
+    return mixed(words + _U(block * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)) if block else words
+
+
 @cache
-def _usual_ranks(registers: int) -> tuple[np.ndarray, np.ndarray]:
+def _usual_ranks(registers: int, block: int = 0) -> tuple[np.ndarray, np.ndarray]:
     letters = np.frombuffer(_ALPHABET, np.uint8).astype(_U)
     codes = np.arange(1 << 2 * WORD, dtype=_U)
     words = np.zeros(len(codes), _U)
     for i in range(WORD):
         words |= letters[((codes >> _U(2 * i)) & _U(3)).astype(np.int64)] << _U(8 * i)
-    perm, r = ranks(words, registers, min(DEPTH, registers))
+    perm, r = ranks(_seeded(words, block), registers, min(DEPTH, registers))
     return np.ascontiguousarray(perm), r
 
 
-def signatures(words: np.ndarray, record: np.ndarray, n_records: int, registers: int, step: int = 24) -> np.ndarray:
-    """SuperMinHash registers of each record from its words (``record`` ascending); each value holds j and r."""
+def signatures(words: np.ndarray, record: np.ndarray, n_records: int, registers: int, step: int = 24, block: int = 0) -> np.ndarray:
+    """SuperMinHash registers of each record from its words (``record`` ascending); each value holds j and r.
+
+    Signatures of different ``block`` are independent of each other.
+    """
     empty = np.uint32(0xFFFFFFFF)
     sig = np.full(n_records * registers, empty, np.uint32)
     record = record.astype(np.int64)
     code, usual = small_code(words)
-    perm, r = _usual_ranks(registers)
+    perm, r = _usual_ranks(registers, block)
     if not usual.all():
         known, other = np.unique(words[~usual], return_inverse=True)
         code[~usual] = other + len(r)
-        more = ranks(known, registers, min(DEPTH, registers))
+        more = ranks(_seeded(known, block), registers, min(DEPTH, registers))
         perm, r = np.concatenate([perm, more[0]]), np.concatenate([r, more[1]])
     at, depth = 0, min(DEPTH, registers)
     while at < registers and len(code):
         if at:  # few records are left: only their words go on
             depth = min(registers, at + step)
             known, code = np.unique(words, return_inverse=True)
-            perm, r = ranks(known, registers, depth)
+            perm, r = ranks(_seeded(known, block), registers, depth)
         for j in range(at, depth):
             place = record * registers + perm[code, j]
             np.minimum.at(sig, place, r[code, j] | np.uint32(j << 24))
@@ -200,14 +219,18 @@ def common_words(texts: DataFrame, share: float = COMMON) -> DataFrame:
     return counted.filter("not whole").filter(F.col("n") >= max(share * total, 2)).select("word")
 
 
-def bucket_rows(texts: DataFrame, common: np.ndarray) -> DataFrame:
+def bucket_rows(texts: DataFrame, common: np.ndarray, threshold: float = 0.5) -> DataFrame:
     """``slot, rest`` for every band of every text of ``ident, text``.
 
     A bucket has 48 bits and an ident 40; ``slot`` is the bucket and the ident's upper 16 bits,
     ``rest`` its lower 24, so that a row takes few bytes in the shuffle. Chance collisions of
     either only cost a comparison.
+
+    Bands come in blocks of as many as a record without common words needs, each block with
+    registers of its own; a record takes the first bands it needs of as many blocks.
     """
     frozen = np.sort(common.view(_U))
+    base = int(bands_for(threshold, 0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, 4000):
@@ -219,18 +242,24 @@ def bucket_rows(texts: DataFrame, common: np.ndarray) -> DataFrame:
             else:
                 rare = np.ones(len(words), bool)
             left = np.bincount(record[rare], minlength=len(ids))
-            some = (left > 0) & (left >= SOME * count)
-            full = (count > 0) & (left < MOST * count)
+            share = 1 - left / np.maximum(count, 1)
+            need = np.where(left > 0, bands_for(threshold, share), 0)
+            full = (count > 0) & (share >= FULL * threshold)
             keys, owners = [], []
-            for salt, who, keep in ((1, some, rare), (2, full, np.ones(len(words), bool))):
+
+            def sign(salt: int, block: int, who: np.ndarray, keep: np.ndarray, most: np.ndarray) -> None:
                 sel = keep & who[record]
                 if not sel.any():
-                    continue
+                    return
                 rank = np.cumsum(who) - 1
-                sig = signatures(words[sel], rank[record[sel]], int(who.sum()), ROWS * BANDS)
-                k = band_keys(sig, salt)
-                keys.append(k.ravel())
-                owners.append(np.repeat(ids[who], k.shape[1]))
+                k = band_keys(signatures(words[sel], rank[record[sel]], int(who.sum()), ROWS * base, block=block), salt)
+                wanted = np.arange(base) < most[who][:, None]
+                keys.append(k[wanted])
+                owners.append(np.repeat(ids[who], wanted.sum(axis=1)))
+
+            for block in range(-(-int(need.max(initial=0)) // base)):
+                sign(1 + 2 * block, block, need > block * base, rare, need - block * base)
+            sign(2, 0, full, np.ones(len(words), bool), np.full(len(ids), base))
             if keys:
                 k, who = np.concatenate(keys), np.concatenate(owners)
                 slot = (k >> _U(16) << _U(16)).view(np.int64) | (who >> 24)
@@ -317,17 +346,37 @@ def _pairs_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         key, ids, rank = k[held], i[held], r[held]
 
 
+def _distinct(pair: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Sorted distinct (pair, word) codes in 32 bits; a batch has fewer than 2^16 pairs."""
+    k = np.sort((pair.astype(np.uint32) << np.uint32(16)) | code.astype(np.uint32))
+    return k[np.r_[True, k[1:] != k[:-1]]] if len(k) else k
+
+
+def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Shared distinct words over all distinct words of each pair of texts, at most 2^16 pairs."""
+    n = len(a)
+    both, size, odd = [], np.zeros(n), np.zeros(n, bool)
+    for texts in (a, b):
+        words, pair, _ = _words_of(texts)
+        code, usual = small_code(words)
+        odd[pair[~usual]] = True
+        k = _distinct(pair[usual], code[usual])
+        both.append(k)
+        size += np.bincount(k >> np.uint32(16), minlength=n)
+    k = np.sort(np.concatenate(both))
+    shared = np.bincount(k[1:][k[1:] == k[:-1]] >> np.uint32(16), minlength=n) if len(k) else np.zeros(n)
+    out = shared / np.maximum(size - shared, 1)
+    # words with other letters have no 16-bit code: those pairs are compared by their texts
+    for i in np.flatnonzero(odd).tolist():
+        x, y = (({t[j : j + WORD] for j in range(len(t) - WORD + 1)}) for t in (a[i].as_py(), b[i].as_py()))
+        out[i] = len(x & y) / max(1, len(x | y))
+    return out
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_for, kept = None, None
-        for b in batches:
-            sims = np.zeros(b.num_rows)
-            for n, (s, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                if kept_for != s:
-                    kept_for, kept = s, {s[i : i + WORD] for i in range(len(s) - WORD + 1)}
-                other = {t[i : i + WORD] for i in range(len(t) - WORD + 1)}
-                both = len(kept & other)
-                sims[n] = both / max(1, len(kept) + len(other) - both)
+        for b in _slices(batches, 20_000):
+            sims = similarities(b.column(0), b.column(1))
             ok = pa.array(sims >= threshold)
             yield pa.RecordBatch.from_arrays([*(b.column(i).filter(ok) for i in range(2, 6)), pa.array(sims).filter(ok)], ["h1_a", "h2_a", "h1_b", "h2_b", "similarity"])
 
@@ -344,7 +393,7 @@ def similar_texts(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     texts = rows.filter(F.length("text") >= WORD).select(ident.alias("ident"), "text", "h1", "h2")
     # at most 1 / COMMON times the words of a record: bounded whatever the data
     frozen = np.array([r.word for r in common_words(texts.select("text")).collect()], np.int64)
-    buckets = bucket_rows(texts.select("ident", "text"), frozen)
+    buckets = bucket_rows(texts.select("ident", "text"), frozen, threshold)
     placed = buckets.repartition(F.shiftright("slot", 16)).sortWithinPartitions("slot")
     met = materialise(placed.mapInArrow(_pairs_in_buckets, "rank long, a long, b long").distinct(), "met")
     pairs = met.filter("rank = -1").select("a", "b").unionByName(_pairs_between_blocks(met))

@@ -75,7 +75,21 @@ def p3_found(spark, d) -> DataFrame:
     return neardup.record_pairs(*_near(spark, d))
 
 
-@REG.add("p3_groups")
+@REG.add(
+    "p3_groups",
+    """with recursive r as (select read_id as id, upper(regexp_replace(seq, '\\s', '', 'g')) as s from fastq_reads
+  union select aln_id, case when flag & 16 <> 0 then reverse(translate(upper(regexp_replace(seq, '\\s', '', 'g')), 'ACGT', 'TGCA'))
+  else upper(regexp_replace(seq, '\\s', '', 'g')) end from sam_alignments),
+ t as (select s, min(id) as class_id from r where s not in ('', '*') and id is not null group by s),
+ w as (select distinct class_id, s[i:i+7] as word from t, unnest(range(1, length(s) - 6)) as u(i)),
+ n as (select class_id, count(*) as n from w group by class_id),
+ j as (select a.class_id as x, b.class_id as y, count(*) as shared from w a join w b on a.word = b.word and a.class_id < b.class_id group by 1, 2),
+ l as (select x, y from j join n p on p.class_id = x join n q on q.class_id = y where 3 * shared >= p.n + q.n),
+ e as (select x, y from l union all select y, x from l),
+ g(x, y) as (select class_id, class_id from t union select g.x, e.y from g join e on g.y = e.x)
+ select id, class_id, (select min(y) from g where g.x = t.class_id) as group_id, (select count(*) from e where e.x = t.class_id) as n_links
+ from (select distinct id, s from r) join t using (s)""",
+)
 def p3_groups(spark, d) -> DataFrame:
     return neardup.groups(*_near(spark, d)).withColumnRenamed("rec_key", "id")
 

@@ -26,7 +26,23 @@ def p1_found(spark, d) -> DataFrame:
     return pieces.oversized(_pieces(spark, d)).select(F.col("rec_key").alias("rec_id"), "cut_kind")
 
 
-@REG.add("p1_pieces")
+@REG.add(
+    "p1_pieces",
+    """with recursive s as (select rec_id, coalesce(split_part(regexp_replace(trim(name, chr(32) || chr(9) || chr(10) || chr(13)), '\\s+', ' ', 'g'), ' ', 1), '') as label,
+   regexp_replace(seq, '\\s', '', 'g') as b from fasta_records),
+ p as (select *, length(b) as n, list_transform(string_split_regex(b, '[Nn]{10,}'), lambda x: length(x)) as free, list_transform(regexp_extract_all(b, '[Nn]{10,}'), lambda x: length(x)) as run from s where b <> ''),
+ q as (select rec_id, i, run[i] as strength, list_sum(free[1:i]) + coalesce(list_sum(run[1:i - 1]), 0) as place from p, unnest(range(1, len(run) + 1)) as t(i)),
+ e as (select rec_id, place, strength from q union all select rec_id, place + strength, strength from q),
+ c(rec_id, n, piece_no, start_at, end_at, cut_kind) as (select rec_id, n, -1, 0::hugeint, 60::hugeint, '' from p
+  union all
+  select c.rec_id, c.n, c.piece_no + 1, c.end_at - 60, case when c.n - (c.end_at - 60) <= 2000 then c.n else coalesce(x.place, c.end_at + 1940) end,
+   case when c.n - (c.end_at - 60) <= 2000 then 'end' when x.place is not null or x.odd then 'boundary' else 'inside' end
+  from c, lateral (select max_by(e.place, (e.strength, e.place)) filter (where e.place > c.end_at) as place, count(*) filter (where e.place <= c.end_at) % 2 = 1 as odd
+   from e where e.rec_id = c.rec_id and e.place <= c.end_at + 1940) x
+  where c.cut_kind <> 'end')
+ select rec_id, piece_no::int as piece_no, case when label = '' then 'rec' || rec_id else label end || '_' || piece_no as piece_name, start_at::bigint as start_at, end_at::bigint as end_at, cut_kind, b[start_at + 1:end_at] as piece
+ from c join s using (rec_id) where piece_no >= 0""",
+)
 def p1_pieces(spark, d) -> DataFrame:
     return _pieces(spark, d).select(F.col("rec_key").alias("rec_id"), "piece_no", "piece_name", "start_at", "end_at", "cut_kind", "piece")
 

@@ -21,7 +21,7 @@ def test_range_max(values, data):
 def test_cut_invariants():
     rng = random.Random(1)
     for _ in range(200):
-        s = "".join(rng.choice(["ACGT" * rng.randint(1, 30), "N" * rng.randint(1, 25), "acg"]) for _ in range(rng.randint(0, 60)))
+        s = "".join(rng.choice(["ACGT" * rng.randint(1, 30), "N" * rng.choice([rng.randint(1, 25), rng.randint(1, 25), 700]), "acg"]) for _ in range(rng.randint(0, 60)))
         runs = pieces.boundary_runs(s, 10)
         got = pieces.cut(len(s), runs, 200, 6)
         edges = {x for r in runs for x in r}
@@ -30,22 +30,23 @@ def test_cut_invariants():
             assert got == []
             continue
         assert got[0][0] == 0 and got[-1][1] == len(s)
-        for (a, b, kind), (c, _, _) in zip(got, got[1:]):
+        for (a, b, kind, free), (c, *_) in zip(got, got[1:]):
             assert b - a <= 200 and c == b - 6
             window = [e for e in edges if a + 6 < e <= a + 200]
-            if kind == "boundary":
+            if kind == "boundary" and not window:
+                assert b == a + 200 and any(x < b < y for x, y in runs)
+            elif kind == "boundary":
                 top = max(strength[e] for e in window)
                 assert b == max(e for e in window if strength[e] == top)
             else:
                 assert not window and b == a + 200
+                before = [e for e in edges if e <= a + 6] + [0]
+                assert free == min([e for e in edges if e > b] + [len(s)]) - max(before)
+        stretches = [y - x for x, y in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(s)])]
+        assert any(kind == "inside" and free > 200 for *_, kind, free in got) == (max(stretches) > 200)
         assert got[-1][1] - got[-1][0] <= 200
 
 
-def test_longest_free():
-    assert pieces.longest_free(30, []) == 30
-    assert pieces.longest_free(30, [(0, 10), (25, 30)]) == 15
-
-
 def test_split_records(spark):
     long = "ACGT" * 400 + "n" * 12 + "ACGT" * 300
     free = "A" * 2001

@@ -147,9 +147,9 @@ def _leaks(spark, d) -> DataFrame:
 
 @REG.add("p7_found")
 def p7_found(spark, d) -> DataFrame:
-    return _leaks(spark, d).select("doc_id", "item_id")
+    return _leaks(spark, d).filter("in_a_row").select("doc_id", "item_id")
 
 
 @REG.add("p7_coverage")
 def p7_coverage(spark, d) -> DataFrame:
-    return _leaks(spark, d)
+    return _leaks(spark, d).select("doc_id", "item_id", "longest", "coverage")

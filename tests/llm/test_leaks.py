@@ -49,7 +49,76 @@ def test_covering():
 
 
 def test_tiles_are_greedy():
-    assert leaks.tiles([(5, 0, 0), (9, 3, 3), (4, 20, 12), (4, 20, 1)]) == [(9, 3, 3), (4, 20, 12)]
+    assert leaks.tiles([(5, 0, 0), (9, 3, 3), (4, 20, 12), (4, 20, 1)], 4) == [(9, 3, 3), (4, 20, 12)]
+    # the rest of an overlapped match waits again
+    assert leaks.tiles([(60, 0, 0), (61, 62, 39)], 12) == [(61, 62, 39), (39, 0, 0)]
+    assert leaks.tiles([(60, 0, 0), (61, 62, 39)], 40) == [(61, 62, 39)]
+    assert leaks.tiles([], 5) == []
+
+
+def test_tiles_against_marking_unit_by_unit():
+    rng = random.Random(2)
+    for _ in range(200):
+        page, item = ([rng.choice("ab") for _ in range(n)] for n in (30, 20))
+        ms = []
+        for a in range(30):
+            for b in range(20):
+                if a and b and page[a - 1] == item[b - 1]:
+                    continue
+                n = 0
+                while a + n < 30 and b + n < 20 and page[a + n] == item[b + n]:
+                    n += 1
+                ms.append((n, a, b))
+        got = leaks.tiles(ms, 3)
+        taken_a, taken_b, lengths = set(), set(), []
+        while True:  # greedy string tiling as published
+            best = (2, 0, 0)
+            for a in range(30):
+                for b in range(20):
+                    n = 0
+                    while a + n < 30 and b + n < 20 and page[a + n] == item[b + n] and a + n not in taken_a and b + n not in taken_b:
+                        n += 1
+                    best = max(best, (n, -a, -b))
+            n, a, b = best[0], -best[1], -best[2]
+            if n < 3:
+                break
+            lengths.append((n, a, b))
+            taken_a |= set(range(a, a + n))
+            taken_b |= set(range(b, b + n))
+        assert got == lengths
+
+
+def test_moved_passages(spark):
+    rng = random.Random(9)
+    new = lambda n: ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(n)]
+    item = new(100)
+    runs = [item[i : i + 20] for i in range(0, 100, 20)]
+    overlapped = item[:60] + new(2) + item[39:]
+    moved = [w for r in (3, 1, 4, 0, 2) for w in (*runs[r], *new(30))]
+    half = [w for r in (3, 1) for w in (*runs[r], *new(30))]
+    apart = [runs[4] + new(20), runs[0] + new(5) + runs[2]]
+    lay = lambda *cols: page([[("a", " ".join(c[i : i + 7])) for i in range(0, len(c), 7)] for c in cols])
+    pages = [lay(overlapped), lay(moved), lay(half), lay(*apart), lay(item[:12] + new(10))]
+    df = spark.createDataFrame([(d, t, b, 0) for d, (t, b) in enumerate(pages)], SCHEMA)
+    questions = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.longest, r.coverage, r.in_a_row) for r in leaks.leaked_items(df, "doc_id", "text", "line_boxes", questions, "item_id", "text").collect()}
+    assert got == {0: (61, 1.0, True), 1: (20, 1.0, False), 3: (20, 0.6, False)}
+
+
+def test_extension_by_runs():
+    rng = np.random.default_rng(3)
+    p, q = rng.integers(0, 2, 400), rng.integers(0, 2, 300)
+    q[50:250] = p[100:300]
+    a, b = rng.integers(0, 400, 500), rng.integers(0, 300, 500)
+    a[:100], b[:100] = np.arange(100, 200), np.arange(50, 150)
+    same = lambda x, y: p[x] == q[y]
+    for step, ends in ((1, (399, 299)), (-1, (0, 0))):
+        got = leaks._extend(same, leaks.run_hashes(p), leaks.run_hashes(q), a, b, *(np.full(500, e) for e in ends), step)
+        for x, y, n in zip(a, b, got):
+            want = 0
+            while 0 <= x + step * (want + 1) < 400 and 0 <= y + step * (want + 1) < 300 and p[x + step * (want + 1)] == q[y + step * (want + 1)]:
+                want += 1
+            assert n == want
 
 
 def misread(rng, w):
@@ -94,9 +163,9 @@ def test_leaked_items_against_brute_force(spark):
     df = spark.createDataFrame([(d, t, b, 0) for d, (t, b) in enumerate(pages)] + [(99, None, None, 0), (98, "", [], 0)], SCHEMA)
     questions = spark.createDataFrame(items, "item_id long, text string")
     got = leaks.leaked_items(df.union(df), "doc_id", "text", "line_boxes", questions, "item_id", "text")
-    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    found = {(r.doc_id, r.item_id) for r in got.filter("in_a_row").collect()}
     assert found == want and want
-    assert all(r.longest >= 24 and 0 < r.coverage <= 1 for r in got.collect())
+    assert all((r.longest >= 24) == r.in_a_row and 0 < r.coverage <= 1 and (r.in_a_row or r.coverage >= 0.5) for r in got.collect())
     assert rows(leaks.leaked_items(df.limit(0), "doc_id", "text", "line_boxes", questions, "item_id", "text")) == []
     assert rows(leaks.leaked_items(df, "doc_id", "text", "line_boxes", questions.limit(0), "item_id", "text")) == []
 
@@ -109,7 +178,7 @@ def test_characters(spark, monkeypatch):
     df = spark.createDataFrame([(d, t, b, 0) for d, (t, b) in enumerate(pages)], SCHEMA)
     questions = spark.createDataFrame([("q1", item), ("q2", "英語 " + "短い")], "item_id string, text string")
     monkeypatch.setattr(leaks, "BLOCK_CHARACTERS", 10)  # a block for each item
-    got = rows(leaks.leaked_items(df, "doc_id", "text", "line_boxes", questions, "item_id", "text").select("doc_id", "item_id", "longest"))
+    got = rows(leaks.leaked_items(df, "doc_id", "text", "line_boxes", questions, "item_id", "text").filter("in_a_row").select("doc_id", "item_id", "longest"))
     rest = len(plain) - len(leaks.characters(item[:25]))
     want = [(0, "q1", len(leaks.characters(item[5:60]))), (2, "q1", 44)] + ([(3, "q1", rest)] if rest >= 44 else [])
     assert got == sorted(want, key=str)

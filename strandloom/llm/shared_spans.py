@@ -312,16 +312,35 @@ def extensions(df: DataFrame, key: str, seq: str, least: int = 64) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in c], names)
 
         parts: list[list[np.ndarray]] = []
-        held = 0
+        pieces: list[tuple[int, int, np.ndarray]] = []
+
+        def read() -> int:
+            """The seeds of the pieces that wait, all in one pass: a letter that is none stands between them."""
+            size = np.array([len(code) + 1 for *_, code in pieces])
+            begin = np.cumsum(size) - size
+            w, at, left, right, n_left, n_right = seeds_of(np.concatenate([np.r_[code, np.uint8(4)] for *_, code in pieces]), least)
+            of = np.searchsorted(begin, at, side="right") - 1
+            keys, low = (np.array([p[i] for p in pieces], np.int64) for i in (0, 1))
+            parts.append([w.view(np.int64), keys[of], at - begin[of] + low[of], n_left, n_right, *(x.view(np.int64) for x in (*left, *right))])
+            pieces.clear()
+            return len(w)
+
+        letters_held, held = 0, 0
         for b in batches:
             for k, s in zip(b.column(0).to_pylist(), b.column(1)):
                 for low, code in _blocks(letters(s.as_py()), least):
-                    w, at, left, right, n_left, n_right = seeds_of(code, least)
-                    parts.append([w.view(np.int64), np.full(len(w), k, np.int64), at + low, n_left, n_right, *(x.view(np.int64) for x in (*left, *right))])
-                    held += len(w)
+                    if len(code) < least:
+                        continue
+                    pieces.append((k, low, code))
+                    letters_held += len(code)
+                    if letters_held > LETTERS >> 2:
+                        held, letters_held = held + read(), 0
                     if held > 200_000:
                         yield full()
-                        parts, held = [], 0
+                        parts.clear()
+                        held = 0
+        if pieces:
+            read()
         if parts:
             yield full()
 

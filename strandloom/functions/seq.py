@@ -69,8 +69,8 @@ def kmers(seq: Column, k: int, stride: int = 1) -> Column:
 
 def kmer_hits(query: Column, window: Column, k: int = 8, stride: int = 7) -> Column:
     """How many of the query's strided k-mers the window has."""
-    present = F.array_distinct(kmers(window, k))
-    return F.size(F.filter(kmers(query, k, stride), lambda x: F.array_contains(present, x)))
+    # the window is bound once: an expression inside a lambda would be computed for every k-mer
+    return F.get(F.transform(F.array(window), lambda w: F.size(F.filter(kmers(query, k, stride), lambda x: F.contains(w, x)))), 0)
 
 
 def split_at_unknown(seq: Column, least: int = 19) -> Column:

@@ -2,8 +2,9 @@
 
 An interval is cut into bins of a fixed width, both sides are joined on (keys, bin), and a pair is
 kept only in the bin where the later of both begins, so it comes out once without a distinct. The
-width is taken from the data: about the 90th percentile of the shorter side's lengths. A key and bin
-with very many intervals is split further by salting the left side and repeating the right.
+width is taken from the data: about the 90th percentile of the shorter side's lengths. Bins are
+counted, and a key and bin with very many intervals on the left is split by salting those and
+repeating the few of the right that meet them; other bins aren't repeated.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Intervals of the left side in one part of a bin.
+PART = 100_000
+
 
 def bin_width(df: DataFrame, begin: str, end: str, least: int = 16) -> int:
     """A power of two at or above the 90th percentile of the lengths (approximate, one small aggregate)."""
@@ -26,14 +30,14 @@ def _binned(df: DataFrame, begin: Column, end: Column, width: int) -> DataFrame:
     return df.withColumn("bin_", F.explode(F.sequence(F.floor(begin / width).cast("long"), F.floor(last / width).cast("long"))))
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", begin: str = "begin", end: str = "end", width: int | None = None, salts: int = 1) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", begin: str = "begin", end: str = "end", width: int | None = None, part: int = PART) -> DataFrame:
     """Rows of ``left`` and ``right`` whose half-open intervals overlap and whose ``keys`` are equal.
 
     ``how``: ``inner`` and ``left`` give pairs with the right side's columns named ``r_<name>``;
     ``semi`` and ``anti`` the left rows with and without an overlap; ``count`` the left rows with
     ``n_overlaps``. Touching intervals don't overlap; an empty interval overlaps one it lies
     strictly inside. Rows with a null key or bound overlap nothing. Repeated rows are kept, each for
-    itself. ``salts`` splits every bin of the left side in so many parts.
+    itself. Bins with more than ``part`` intervals of the left side are split in parts of about that size.
     """
     if how not in ("inner", "left", "semi", "anti", "count"):
         raise ValueError(f"how: {how}")
@@ -47,12 +51,21 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     on = [F.col(k) == F.col(f"r_{k}") for k in keys]
     lb, rb = (_binned(d.filter(f"{p}{begin} is not null and {p}{end} is not null"), F.col(p + begin), F.col(p + end), width) for d, p in ((l, ""), (r, "r_")))
-    if salts > 1:
-        # by content, so that a task that runs again gives every row the same part
-        own = [F.col(c) for c in names if not lb.schema[c].dataType.simpleString().startswith("map")]
-        lb = lb.withColumn("salt_", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int"))
-        rb = rb.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        on.append(lb["salt_"] == rb["salt_"])
+    # few bins are that full, whatever the size of the tables
+    counted = lb.groupBy(*[F.col(k).alias(f"h_{k}") for k in keys], F.col("bin_").alias("h_bin_")).agg(F.count(F.lit(1)).alias("h_n_")).filter(F.col("h_n_") > part)
+    hot = counted.withColumn("h_parts_", F.ceil(F.col("h_n_") / part).cast("int")).drop("h_n_")
+
+    def parts(d: DataFrame, p: str) -> DataFrame:
+        same = d["bin_"] == hot["h_bin_"]
+        for k in keys:
+            same = same & (d[p + k] == hot[f"h_{k}"])
+        return d.join(hot, same, "left").withColumn("parts_", F.coalesce("h_parts_", F.lit(1))).drop(*hot.columns)
+
+    # by content, so that a task that runs again gives every row the same part
+    own = [F.col(c) for c in names if not lb.schema[c].dataType.simpleString().startswith("map")]
+    lb = parts(lb, "").withColumn("salt_", F.pmod(F.xxhash64(*own), F.col("parts_")).cast("int")).drop("parts_")
+    rb = parts(rb, "r_").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.col("parts_") - 1))).drop("parts_")
+    on.append(lb["salt_"] == rb["salt_"])
     meet = (F.col(begin) < F.col(f"r_{end}")) & (F.col(f"r_{begin}") < F.col(end))
     first = F.floor(F.greatest(begin, f"r_{begin}") / width).cast("long")
     cond = (lb["bin_"] == rb["bin_"]) & meet & (lb["bin_"] == first)

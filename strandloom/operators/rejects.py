@@ -1,8 +1,8 @@
 """Separating lines that fail to parse from valid typed records.
 
-Each data line is split into cells, the cells are exploded to (line, column, value) and joined with
-a rule table; the failed rules are aggregated by line, and the clean lines are what an anti-join
-with the failures leaves.
+Each data line is split into cells, the cells that a rule judges are exploded to (line, column,
+value) and joined with the rule table; the failed rules are aggregated by line, and the clean lines
+are what an anti-join with the failures leaves. Lines are parsed once and kept for both results.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.storage import materialise
+
 UINT32 = 4294967295
 
 # Kind, column (from 0), least number of columns for the rule to hold, check, lowest, highest.
@@ -132,15 +134,24 @@ def judge_lines(lines: DataFrame, contigs: DataFrame) -> tuple[DataFrame, DataFr
     """
     rows = split_lines(lines)
     count_ok = F.when(F.col("file_kind") == "sam", F.size("fields") >= 11).otherwise(F.coalesce(F.size("fields") == F.col("expected"), F.lit(True)))
-    rows = rows.withColumn("shape", F.when(~F.col("quote_ok"), "quoting").when(~count_ok, "column_count"))
+    shape = F.when(~F.col("quote_ok"), "quoting").when(~count_ok, "column_count")
+    rows = materialise(rows.select("line_id", "file_kind", "file_name", "fields", shape.alias("shape")), "parsed")
     shaped = rows.filter("shape is null")
-    where = F.when(F.col("file_kind") == "sam", F.get("fields", F.lit(2))).otherwise(F.get("fields", F.lit(0)))
-    sizes = contigs.groupBy("spelling").agg(F.max("length_bp").alias("contig_bp"))
-    placed = shaped.withColumn("where", where).join(sizes, F.col("where") == F.col("spelling"), "left")
-    peer = F.when(F.col("file_kind") == "sam", F.get("fields", F.lit(9))).when(F.col("file_kind") == "bed", F.get("fields", F.lit(1)))
-    cells = placed.select("line_id", "file_kind", "contig_bp", peer.alias("peer"), F.size("fields").alias("n_cols"), F.posexplode("fields").alias("col_no", "value"))
+    cell = lambda i: F.get("fields", F.lit(i))
+    sam, bed = (F.col("file_kind") == k for k in ("sam", "bed"))
+    # only the cells that the rules name, so that lines of thousands of samples don't become thousands of rows
+    ruled = F.lit(None)
+    for kind in HEADERS:
+        ruled = F.when(F.col("file_kind") == kind, F.array(*[F.struct(F.lit(c).alias("col_no"), cell(c).alias("value")) for k, c, *_ in RULES if k == kind])).otherwise(ruled)
+    cells = shaped.select(
+        "line_id", "file_kind", F.when(sam, cell(2)).otherwise(cell(0)).alias("where"), F.when(sam, cell(9)).when(bed, cell(1)).alias("peer"),
+        F.size("fields").alias("n_cols"), F.inline(ruled),
+    ).filter("value is not null")
     rules = rule_table(lines.sparkSession).withColumnsRenamed({"kind": "rule_kind", "col_no": "rule_col"})
-    judged = cells.join(F.broadcast(rules), (F.col("file_kind") == F.col("rule_kind")) & (F.col("col_no") == F.col("rule_col")) & (F.col("n_cols") >= F.col("least_cols")))
+    named = cells.join(F.broadcast(rules), (F.col("file_kind") == F.col("rule_kind")) & (F.col("col_no") == F.col("rule_col")) & (F.col("n_cols") >= F.col("least_cols")))
+    sizes = contigs.groupBy("spelling").agg(F.max("length_bp").alias("contig_bp"))
+    of_contig = F.when(F.col("check").isin("contig", "contig_or_star", "within_contig"), F.col("where"))
+    judged = named.join(sizes, of_contig == F.col("spelling"), "left")
     failed = judged.filter(~_passes()).groupBy("line_id", "file_kind").agg(F.sort_array(F.collect_set("col_no")).alias("errors"))
     rejected = (
         rows.filter("shape is not null").select("line_id", "file_kind", F.col("shape").alias("reason"), F.array().cast("array<int>").alias("errors"))

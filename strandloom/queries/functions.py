@@ -30,19 +30,29 @@ def s():
     return F.col("s")
 
 
+def _each(f):
+    """The values of all letters of a sequence, joined."""
+    return F.array_join(F.transform(F.filter(F.split(s(), ""), lambda c: c != ""), lambda c: f(c).cast("string")), "")
+
+
+def _twelves(f):
+    """f of a sequence's pieces of 12 letters, the last one being what is left."""
+    return F.when(F.length(s()) > 0, F.transform(F.sequence(F.lit(1), F.length(s()), F.lit(12)), lambda j: f(F.substr(s(), j, F.lit(12))))).otherwise(F.array().cast("array<string>"))
+
+
 _REVCOMP = "reverse(translate(regexp_replace({}, '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA'))"
 simple("seq_reverse_complement", _REVCOMP.format("s") + " as rc", lambda: dict(rc=sq.reverse_complement(s())))
 simple("seq_codes", "array_to_string(list_transform(list_filter(string_split(s, ''), lambda c: c <> ''), lambda c: case c when 'A' then 0 when 'C' then 1 when 'G' then 2 when 'T' then 3 else 4 end), '') as codes", lambda: dict(codes=F.array_join(F.transform(sq.codes(s()), lambda c: c.cast("string")), "")))
 simple("seq_from_codes", "regexp_replace(s, '[^ACGT]', 'N', 'g') as back", lambda: dict(back=sq.from_codes(sq.codes(s()))))
 simple("seq_dna4", "regexp_replace(s, '[^ACGT]', 'A', 'g') as dna4", lambda: dict(dna4=sq.dna4(s())))
-simple("seq_first_base", "case when s[1] in ('A', 'C', 'G', 'T') then true else false end as valid, case s[1] when 'A' then 0 when 'C' then 1 when 'G' then 2 when 'T' then 3 else 4 end as code", lambda: dict(valid=sq.is_valid(F.left(s(), F.lit(1))), code=sq.to_code(F.left(s(), F.lit(1)))))
-simple("seq_pack", "list_reduce(list_transform(string_split(regexp_replace(s[1:12], '[^ACGT]', 'A', 'g'), ''), lambda c: case c when 'C' then 1 when 'G' then 2 when 'T' then 3 else 0 end::bigint), lambda a, x: a * 4 + x) as key", lambda: dict(key=sq.pack(F.left(s(), F.lit(12)))))
-simple("seq_unpack", "case when length(s) >= 12 then regexp_replace(s[1:12], '[^ACGT]', 'A', 'g') end as word", lambda: dict(word=F.when(F.length(s()) >= 12, sq.unpack(sq.pack(F.left(s(), F.lit(12))), 12))))
+simple("seq_first_base", "array_to_string(list_transform(range(1, length(s) + 1), lambda i: case when s[i] in ('A', 'C', 'G', 'T') then 1 else 0 end), '') as valid, array_to_string(list_transform(range(1, length(s) + 1), lambda i: case s[i] when 'A' then 0 when 'C' then 1 when 'G' then 2 when 'T' then 3 else 4 end), '') as code", lambda: dict(valid=_each(lambda c: sq.is_valid(c).cast("int")), code=_each(sq.to_code)))
+simple("seq_pack", "array_to_string(list_transform(range(1, length(s) + 1, 12), lambda j: list_reduce(list_transform(string_split(regexp_replace(s[j:j+11], '[^ACGT]', 'A', 'g'), ''), lambda c: case c when 'C' then 1 when 'G' then 2 when 'T' then 3 else 0 end::bigint), lambda a, x: a * 4 + x)), ',') as keys", lambda: dict(keys=F.array_join(_twelves(lambda x: sq.pack(x).cast("string")), ",")))
+simple("seq_unpack", "array_to_string(list_transform(range(1, length(s) - 10, 12), lambda j: regexp_replace(s[j:j+11], '[^ACGT]', 'A', 'g')), ',') as words", lambda: dict(words=F.array_join(F.transform(F.filter(_twelves(lambda x: x), lambda x: F.length(x) == 12), lambda x: sq.unpack(sq.pack(x), 12)), ",")))
 simple("seq_base_counts", ", ".join(f"(length(s) - length(replace(s, '{b}', ''))) as n_{b.lower()}" for b in "ACGT"), lambda: dict(**{f"n_{b.lower()}": sq.base_count(s(), b) for b in "ACGT"}))
 simple("seq_low_complexity", "length(s) > 0 and greatest(" + ", ".join(f"length(s) - length(replace(s, '{b}', ''))" for b in "ACGT") + ") >= 0.3 * length(s) as low", lambda: dict(low=sq.low_complexity(s(), 0.3)))
 simple("seq_split_at_unknown", "array_to_string(list_filter(string_split_regex(s, '[^ACGT]+'), lambda x: length(x) >= 19), ',') as parts", lambda: dict(parts=F.array_join(sq.split_at_unknown(s()), ",")))
-simple("seq_similarity", "case when length(s) >= 32 then list_sum(list_transform(range(1, 17), lambda i: case when s[i] = s[i + 16] then 1 else 0 end)) / 16.0 else null end::double as same", lambda: dict(same=F.when(F.length(s()) >= 32, sq.similarity(F.substr(s(), F.lit(1), F.lit(16)), F.substr(s(), F.lit(17), F.lit(16))))))
-simple("seq_kmer_hits", "case when length(s) >= 60 then len(list_filter(list_transform(range(1, 24, 7), lambda i: s[i:i+7]), lambda k: contains(s[21:], k)))::int end as hits", lambda: dict(hits=F.when(F.length(s()) >= 60, sq.kmer_hits(F.substr(s(), F.lit(1), F.lit(30)), F.substr(s(), F.lit(21), F.length(s()))))))
+simple("seq_similarity", "case when length(s) >= 2 then list_sum(list_transform(range(1, length(s) // 2 + 1), lambda i: case when s[i] = s[i + length(s) // 2] then 1 else 0 end)) / (length(s) // 2)::double else 0 end as same", lambda: dict(same=sq.similarity(F.left(s(), F.expr("cast(length(s) div 2 as int)")), F.substr(s(), F.expr("cast(length(s) div 2 + 1 as int)"), F.expr("cast(length(s) div 2 as int)")))))
+simple("seq_kmer_hits", f"len(list_filter(list_transform(range(1, length(s) - 6, 7), lambda i: s[i:i+7]), lambda k: contains({_REVCOMP.format('s')}, k)))::int as hits", lambda: dict(hits=sq.kmer_hits(s(), sq.reverse_complement(s()))))
 simple("seq_strided_kmers", "case when length(s) >= 8 then array_to_string(list_transform(range(1, length(s) - 6, 7), lambda i: s[i:i+7]), ',') else '' end as words", lambda: dict(words=F.array_join(sq.kmers(s(), 8, 7), ",")))
 
 
@@ -197,11 +207,15 @@ def sam_gap_penalties(spark, d):
 
 # Qualities
 
-@REG.add("quality_probabilities", "select read_id, ascii(q) - 33 as phred, round(pow(10, (ascii(q) - 33) / -10.0), 6) as p, round(pow(10, ascii(q) / -10.0), 9) as p_raw, case when ascii(q) > 33 then round(log10(1 - pow(10, (ascii(q) - 33) / -10.0)), 6) end as log_right from (select read_id, qual[1] as q from fastq_reads where qual <> '')")
+@REG.add("quality_probabilities", """with q as (select read_id, list_transform(string_split(qual, ''), lambda c: ascii(c)) as xs from fastq_reads where qual <> '')
+ select read_id, list_sum(list_transform(xs, lambda x: x - 33))::bigint as phred, round(list_sum(list_transform(xs, lambda x: pow(10, (x - 33) / -10.0))), 6) as p, round(list_sum(list_transform(xs, lambda x: pow(10, x / -10.0))), 6) as p_raw,
+ round(coalesce(list_sum(list_transform(list_filter(xs, lambda x: x > 33), lambda x: log10(1 - pow(10, (x - 33) / -10.0)))), 0), 6) as log_right from q""")
 def quality_probabilities(spark, d):
-    q = F.left("qual", F.lit(1))
+    """Sums over all bases of each read."""
+    letters = F.filter(F.split("qual", ""), lambda c: c != "")
+    total = lambda f: F.aggregate(F.transform(letters, f), F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
     t = table(spark, d, "fastq_reads").filter("qual <> ''")
-    return t.select("read_id", ql.phred(q).alias("phred"), F.round(ql.error_probability(q), 6).alias("p"), F.round(ql.error_probability(q, True), 9).alias("p_raw"), F.round(ql.log10_correct_probability(q), 6).alias("log_right"))
+    return t.select("read_id", total(lambda c: ql.phred(c)).cast("long").alias("phred"), F.round(total(lambda c: ql.error_probability(c)), 6).alias("p"), F.round(total(lambda c: ql.error_probability(c, True)), 6).alias("p_raw"), F.round(total(lambda c: ql.log10_correct_probability(c)), 6).alias("log_right"))
 
 
 @REG.add("quality_mean", "select read_id, round(list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) / length(qual)::double, 6) as mean_quality from fastq_reads where qual <> ''")
@@ -278,6 +292,26 @@ def math_log_sums(spark, d):
     return values(spark, d).select("var_id", *[mx.precision(c, 6).alias(n) for n, c in cols.items()])
 
 
+_PARTS = "[1.0 + var_id % 5, 2.0 + var_id % 3, 0.5 + var_id % 7]"
+
+
+@REG.add(
+    "math_weights",
+    f"""select distinct var_id, round(lgamma(1.0 + var_id % 40) * log10(exp(1)), 6) as log_gamma, round(lgamma(0.25 + var_id % 3) * log10(exp(1)), 6) as log_gamma_small,
+    round(list_sum(list_transform({_PARTS}, lambda x: pow(10, -x))), 9) as total, array_to_string(list_transform({_PARTS}, lambda x: round(log10(x / list_sum({_PARTS})), 4)::varchar), ' ') as weights,
+    array_to_string(list_transform(range(1, 4), lambda i: ({_PARTS}[i] * [3, 1, 2][i])::int::varchar), '|') as products from vcf_variants""",
+)
+def math_weights(spark, d):
+    n = lambda k: F.col("var_id") % k
+    parts = F.array(1.0 + n(5), 2.0 + n(3), 0.5 + n(7))
+    shown = F.transform(mx.dirichlet_log10_mean_weights(parts), lambda x: F.round(x, 4).cast("string"))
+    products = F.transform(mx.binary_transform(parts, F.array(F.lit(3.0), F.lit(1.0), F.lit(2.0)), lambda x, y: x * y), lambda x: F.rint(x).cast("int").cast("string"))
+    return table(spark, d, "vcf_variants").select(
+        "var_id", F.round(mx.log10_gamma(1.0 + n(40)), 6).alias("log_gamma"), F.round(mx.log10_gamma(0.25 + n(3)), 6).alias("log_gamma_small"),
+        F.round(mx.sum_log10(F.transform(parts, lambda x: -x)), 9).alias("total"), mx.format_print(shown, " ").alias("weights"), mx.format_print(products, "|").alias("products"),
+    ).distinct()
+
+
 @REG.add(
     "math_normalise",
     f"""with v as ({_V}), t as (select *, log10(pow(10, a) + pow(10, b)) as s, greatest(a, b) as m from v)
@@ -310,12 +344,12 @@ def genotype_order(spark, d):
 
 @REG.add(
     "variant_class",
-    "select var_id, case when length(ref) = length(a) then 'snp' when length(ref) < length(a) then 'insertion' else 'deletion' end as kind from (select var_id, ref, string_split(alt, ',')[1] as a from vcf_variants where ref is not null and alt is not null)",
+    "select var_id, case when length(ref) = length(a) then 'snp' when length(ref) < length(a) then 'insertion' else 'deletion' end as kind from (select var_id, ref, unnest(string_split(alt, ',')) as a from vcf_variants where ref is not null and alt is not null)",
 )
 def variant_class(spark, d):
     from strandloom.functions.variant import kind
 
-    return table(spark, d, "vcf_variants").filter("ref is not null and alt is not null").select("var_id", kind(F.col("ref"), F.split("alt", ",")[0]).alias("kind"))
+    return table(spark, d, "vcf_variants").filter("ref is not null and alt is not null").select("var_id", "ref", F.explode(F.split("alt", ",")).alias("a")).select("var_id", kind(F.col("ref"), F.col("a")).alias("kind"))
 
 
 _MQ = "select aln_id, 100 + aln_id % 51 as score, aln_id % 120 as second, 150::bigint as len, aln_id % 4 as n, (aln_id % 5) / 10.0::double as rep, aln_id % 90 as tail from sam_alignments"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions import mathx as mx
 from strandloom.functions import seq as sq
 from strandloom.kernels import alignment, trimming
 from strandloom.operators import genome as gn
@@ -29,14 +30,8 @@ _UNIT = alignment.Scoring(0, -1, -1, -1)
 _READS = "with r as (select distinct read_id, upper(seq) as s, qual from fastq_reads where seq is not null and seq <> '')"
 
 
-@REG.add("align_global_edits", _READS + " select read_id, -levenshtein(s[1:60], s[8:70])::bigint as score from r")
+@REG.add("align_global_edits", _READS + " select read_id, -levenshtein(s, s[8:])::bigint as score from r")
 def align_global_edits(spark, d):
-    t = reads(spark, d).select("read_id", F.substr("s", F.lit(1), F.lit(60)).alias("a"), F.substr("s", F.lit(8), F.lit(63)).alias("b"))
-    return ko.align_pairs(t, "read_id", "a", "b", _UNIT, "global").select(F.col("rec_key").alias("read_id"), "score")
-
-
-@REG.add("align_global_edits_whole", _READS + " select read_id, -levenshtein(s, s[8:])::bigint as score from r")
-def align_global_edits_whole(spark, d):
     """Each whole read with itself from its eighth base on."""
     t = reads(spark, d).select("read_id", "s", F.substr("s", F.lit(8), F.length("s")).alias("b"))
     return ko.align_pairs(t, "read_id", "s", "b", _UNIT, "global").select(F.col("rec_key").alias("read_id"), "score")
@@ -145,15 +140,6 @@ def call_variants(spark, d):
     return called.select("chrom", "pos", "ref", F.array_join("alt", ",").alias("alt"), "genotype", F.round("qual", 2).alias("qual"))
 
 
-def _tailed(spark, d) -> DataFrame:
-    t = reads(spark, d)
-    size = (F.col("read_id") % 70 + 40).cast("int")
-    insert = F.left("s", F.least(size, F.length("s")))
-    cut = lambda x: F.left(x, F.lit(100))
-    q = F.repeat(F.lit("I"), F.lit(100))
-    return t.select(F.col("read_id").cast("string").alias("name"), cut(F.concat(insert, F.lit(trimming.ADAPTERS[0]), F.reverse("s"))).alias("seq1"), q.alias("qual1"), cut(F.concat(sq.reverse_complement(insert), F.lit(trimming.ADAPTERS[1]), F.reverse("s"))).alias("seq2"), q.alias("qual2"))
-
-
 def _inserts(spark, d) -> DataFrame:
     """Every read as a whole insert that both mates read through, with its own qualities, and the mates among the alignments."""
     q = F.coalesce("qual", F.lit(""))
@@ -172,10 +158,14 @@ def trim_pairs(spark, d):
 
 @REG.add("trim_single")
 def trim_single(spark, d):
-    return ko.trim_single(_tailed(spark, d), "name", trimming.ADAPTERS[0], "seq1").withColumnRenamed("rec_key", "name")
+    """Every whole read with the adapter behind it."""
+    t = reads(spark, d).select(F.col("read_id").cast("string").alias("name"), F.concat("s", F.lit(trimming.ADAPTERS[0])).alias("seq"))
+    return ko.trim_single(t, "name", trimming.ADAPTERS[0], "seq").withColumnRenamed("rec_key", "name")
 
 
 @REG.add("allele_frequencies")
 def allele_frequencies(spark, d):
-    t = table(spark, d, "vcf_variants").filter("ref is not null and alt is not null and qual is not null").select("var_id", F.array("ref", F.split("alt", ",")[0]).alias("alleles"), F.array(-F.col("qual") / 10, F.lit(0.0), -F.col("qual") / 5).alias("gl")).distinct()
-    return ko.allele_frequencies(t, "var_id", "gl", "alleles").select(F.col("rec_key").alias("var_id"), F.round("log10_no_variant", 6).alias("log10_no_variant"), F.round(F.col("counts")[1], 6).alias("alt_count"))
+    """All alternatives of a variant; the likelihoods fall with its quality, the heterozygous genotypes being the best."""
+    t = table(spark, d, "vcf_variants").filter("ref is not null and alt is not null and qual is not null").select("var_id", F.concat(F.array("ref"), F.split("alt", ",")).alias("alleles"), "qual").distinct()
+    same = F.transform(mx.genotype_array(F.size("alleles")), lambda g: F.when(g["a"] != g["b"], F.lit(0.0)).when(g["a"] == 0, -F.col("qual") / 10).otherwise(-F.col("qual") / 5))
+    return ko.allele_frequencies(t.withColumn("gl", same), "var_id", "gl", "alleles").select(F.col("rec_key").alias("var_id"), F.round("log10_no_variant", 6).alias("log10_no_variant"), F.round(F.col("counts")[1], 6).alias("alt_count"))

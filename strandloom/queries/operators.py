@@ -111,36 +111,35 @@ def position_to_chromosome(spark, d):
 
 @REG.add("position_intersection", "with f as (select file_kind, list(distinct line_no) as xs from raw_lines group by file_kind) select len(list_intersect(a.xs, b.xs))::int as n_common from f a, f b where a.file_kind = 'vcf' and b.file_kind = 'bed'")
 def position_intersection(spark, d):
-    t = table(spark, d, "raw_lines").groupBy(F.lit(1).alias("one")).agg(F.collect_set(F.when(F.col("file_kind") == "vcf", F.col("line_no"))).alias("a"), F.collect_set(F.when(F.col("file_kind") == "bed", F.col("line_no"))).alias("b"))
-    return t.select(F.size(F.array_intersect("a", "b")).alias("n_common"))
+    t = table(spark, d, "raw_lines").filter("line_no is not null")
+    places = t.groupBy("line_no").agg(F.bool_or(F.col("file_kind") == "vcf").alias("a"), F.bool_or(F.col("file_kind") == "bed").alias("b"))
+    return places.agg(F.count_if(F.col("a") & F.col("b")).cast("int").alias("n_common"))
 
 
 # Expression: genes are feature names, samples are strands.
 
-_EXPR = "m as (select coalesce(strand, '.') as sample, gene_type || '/' || left(gene_name, 3) as gene, sum(end_pos - start_pos)::double as value from bedsix_genes where end_pos > start_pos and start_pos >= 0 and gene_name is not null and gene_type is not null group by 1, 2)"
+_EXPR = "m as (select coalesce(strand, '.') as sample, gene_type || '/' || gene_name as gene, sum(end_pos - start_pos)::double as value from bedsix_genes where end_pos > start_pos and start_pos >= 0 and gene_name is not null and gene_type is not null group by 1, 2)"
 _FILL = _EXPR + ", e as (select s.sample, g.gene, coalesce(m.value, 0) as value from (select distinct sample from m) s cross join (select distinct gene from m) g left join m using (sample, gene))"
 
 
-def matrix(spark, d, whole: bool = False) -> DataFrame:
-    """Genes are the first three letters of a name, as in ``_EXPR``, or whole names."""
+def matrix(spark, d) -> DataFrame:
     t = table(spark, d, "bedsix_genes").filter("end_pos > start_pos and start_pos >= 0 and gene_name is not null and gene_type is not null")
-    gene = F.col("gene_name") if whole else F.left("gene_name", F.lit(3))
-    return t.groupBy(F.coalesce("strand", F.lit(".")).alias("sample"), F.concat_ws("/", "gene_type", gene).alias("gene")).agg(F.sum(F.col("end_pos") - F.col("start_pos")).cast("double").alias("value"))
+    return t.groupBy(F.coalesce("strand", F.lit(".")).alias("sample"), F.concat_ws("/", "gene_type", "gene_name").alias("gene")).agg(F.sum(F.col("end_pos") - F.col("start_pos")).cast("double").alias("value"))
 
 
 @REG.add("expression_filled", f"with {_FILL} select * from e")
-def expression_filled(spark, d, whole=False):
-    return ex.filled(matrix(spark, d, whole))
+def expression_filled(spark, d):
+    return ex.filled(matrix(spark, d))
 
 
 @REG.add("expression_size_normalised", f"with {_EXPR} select sample, gene, round(value / sum(value) over (partition by sample), 9) as value from m")
-def expression_size_normalised(spark, d, whole=False):
-    return ex.size_normalised(matrix(spark, d, whole)).withColumn("value", F.round("value", 9))
+def expression_size_normalised(spark, d):
+    return ex.size_normalised(matrix(spark, d)).withColumn("value", F.round("value", 9))
 
 
 @REG.add("expression_quantile_normalised", f"with {_FILL}, r as (select *, row_number() over (partition by sample order by value, gene) as k from e), a as (select *, avg(value) over (partition by k) as mean from r) select sample, gene, value, round(avg(mean) over (partition by sample, value), 6) as normalised from a")
-def expression_quantile_normalised(spark, d, whole=False):
-    return ex.quantile_normalised(matrix(spark, d, whole)).withColumn("normalised", F.round("normalised", 6))
+def expression_quantile_normalised(spark, d):
+    return ex.quantile_normalised(matrix(spark, d)).withColumn("normalised", F.round("normalised", 6))
 
 
 _TMM = _FILL + """, s as (select sample, sum(value) as n, quantile_cont(value, 0.75) / sum(value) as q from e group by sample),
@@ -153,18 +152,18 @@ _TMM = _FILL + """, s as (select sample, sum(value) as n, quantile_cont(value, 0
 
 
 @REG.add("expression_tmm_factors", f"with {_TMM} select sample, round(raw, 6) as raw, round(raw / pow(2, (select avg(log2(raw)) from t)), 6) as factor from t")
-def expression_tmm_factors(spark, d, whole=False):
-    return ex.tmm_factors(matrix(spark, d, whole)).select("sample", F.round("raw", 6).alias("raw"), F.round("factor", 6).alias("factor"))
+def expression_tmm_factors(spark, d):
+    return ex.tmm_factors(matrix(spark, d)).select("sample", F.round("raw", 6).alias("raw"), F.round("factor", 6).alias("factor"))
 
 
 @REG.add("expression_tmm_reference", f"with {_TMM} select ref as sample from ref")
-def expression_tmm_reference(spark, d, whole=False):
-    return ex.tmm_reference(ex.filled(matrix(spark, d, whole)))
+def expression_tmm_reference(spark, d):
+    return ex.tmm_reference(ex.filled(matrix(spark, d)))
 
 
 @REG.add("expression_tmm_normalised", f"with {_TMM} select sample, gene, round(value / (raw / pow(2, (select avg(log2(raw)) from t))), 4) as value from e join t using (sample)")
-def expression_tmm_normalised(spark, d, whole=False):
-    return ex.tmm_normalised(matrix(spark, d, whole)).withColumn("value", F.round("value", 4))
+def expression_tmm_normalised(spark, d):
+    return ex.tmm_normalised(matrix(spark, d)).withColumn("value", F.round("value", 4))
 
 
 _TAILED = """with r as (select library as gene, upper(seq) as seq, case when read_id % 3 = 0 and length(seq) > 30 then length(seq) - read_id % 5 - 1 else -1 end as tail_pos, read_id % 4 as hits from fastq_reads where seq is not null and seq <> '' and library is not null),
@@ -195,20 +194,11 @@ def expression_tailed_sum(spark, d):
 
 
 @REG.add("expression_add_scale", f"with {_EXPR} select sample, gene, round(value + value * 0.5, 6) as value from m")
-def expression_add_scale(spark, d, whole=False):
-    m = matrix(spark, d, whole)
+def expression_add_scale(spark, d):
+    m = matrix(spark, d)
     return ex.add(m, ex.scale(m, 0.5), ["sample", "gene"]).withColumn("value", F.round("value", 6))
 
 
-def _by_whole_gene(name: str) -> None:
-    f = REG.queries[name]
-    REG.add(f"{name}_whole", REG.sql[name].replace("left(gene_name, 3)", "gene_name"))(lambda spark, d: f(spark, d, True))
-
-
-for _name in ("filled", "size_normalised", "quantile_normalised", "tmm_factors", "tmm_reference", "tmm_normalised", "add_scale"):
-    _by_whole_gene(f"expression_{_name}")
-
-
 # Genome-wide
 
 _FASTA = "select rec_id, upper(regexp_replace(seq, '\\s', '', 'g')) as s from fasta_records where seq is not null"
@@ -267,12 +257,17 @@ def kmer_repeated(spark, d):
     return gn.repeated_kmers(fasta(spark, d), "rec_id", F.col("s"), 10)
 
 
-@REG.add("seed_positions", f"with f as ({_FASTA}), k as (select rec_id, i - 1 as place, s[i:i+18] as w from f, unnest(range(1, length(s) - 17)) as x(i)), r as (select distinct read_id, upper(seq)[1:19] as w from fastq_reads where length(seq) >= 19) select read_id, rec_id, place::int as place from r join k using (w)")
+@REG.add("seed_positions", f"""with f as ({_FASTA}), k as (select rec_id, i - 1 as place, s[i:i+18] as w from f, unnest(range(1, length(s) - 17)) as x(i)),
+ q as (select 'read ' || read_id as query, upper(seq) as s from fastq_reads where seq is not null union select 'record ' || rec_id, s from f),
+ r as (select query, i - 1 as query_at, s[i:i+18] as w from q, unnest(range(1, length(s) - 17, 19)) as x(i))
+ select query, query_at::int as query_at, rec_id, place::int as place from r join k using (w) where query <> 'record ' || rec_id""")
 def seed_positions(spark, d):
-    """Exact seeds by a posting table of 19-mers, hash partitioned and never broadcast."""
+    """Exact seeds of all reads and records in the records, at every 19th base, by a posting table of 19-mers: hash partitioned and never broadcast."""
     posting = gn.kmer_places(fasta(spark, d), "rec_id", F.col("s"), 19).select(F.col("rec_key").alias("rec_id"), F.col("place").cast("int").alias("place"), F.col("kmer").alias("w"))
-    r = table(spark, d, "fastq_reads").filter("length(seq) >= 19").select("read_id", F.left(F.upper("seq"), F.lit(19)).alias("w")).distinct()
-    return r.join(posting, "w").select("read_id", "rec_id", "place")
+    reads = table(spark, d, "fastq_reads").filter("seq is not null").select(F.concat(F.lit("read "), F.col("read_id").cast("string")).alias("query"), F.upper("seq").alias("s")).distinct()
+    records = fasta(spark, d).select(F.concat(F.lit("record "), F.col("rec_id").cast("string")).alias("query"), "s")
+    seeds = gn.kmer_places(reads.unionByName(records), "query", F.col("s"), 19).filter("place % 19 = 0").select(F.col("rec_key").alias("query"), F.col("place").cast("int").alias("query_at"), F.col("kmer").alias("w"))
+    return seeds.join(posting, "w").filter(F.col("query") != F.concat(F.lit("record "), F.col("rec_id").cast("string"))).select("query", "query_at", "rec_id", "place")
 
 
 _SCORES = "select distinct aln_id % 500 as read, coalesce(mapq, 0)::int as score, aln_id from sam_alignments"
@@ -395,17 +390,17 @@ def variant_vcf_line(spark, d):
     return t.select("var_id", line.alias("line")).distinct()
 
 
-@REG.add("mismatch_distances", "with r as (select distinct read_id, list_filter(range(1, 31), lambda i: upper(seq)[i] = 'A') as xs from fastq_reads where length(seq) >= 30) select read_id, array_to_string(list_transform(range(1, len(xs) + 1), lambda i: xs[i] - coalesce(xs[i - 1], 0)), ',') as steps from r")
+@REG.add("mismatch_distances", "with r as (select distinct read_id, list_filter(range(1, length(seq) + 1), lambda i: upper(seq)[i] = 'A') as xs from fastq_reads where seq <> '') select read_id, array_to_string(list_transform(range(1, len(xs) + 1), lambda i: xs[i] - coalesce(xs[i - 1], 0)), ',') as steps from r")
 def mismatch_distances(spark, d):
     from strandloom.operators.order import differences
 
-    t = table(spark, d, "fastq_reads").filter("length(seq) >= 30").select("read_id", F.filter(F.sequence(F.lit(1), F.lit(30)), lambda i: F.substr(F.upper("seq"), i, F.lit(1)) == "A").alias("xs")).distinct()
+    t = table(spark, d, "fastq_reads").filter("seq <> ''").select("read_id", F.filter(F.sequence(F.lit(1), F.length("seq")), lambda i: F.substr(F.upper("seq"), i, F.lit(1)) == "A").alias("xs")).distinct()
     return t.select("read_id", F.array_join(F.transform(differences(F.col("xs")), lambda x: x.cast("string")), ",").alias("steps"))
 
 
 @REG.add(
     "reference_confidence",
-    """with p as (select library, upper(seq)[1] as b, ascii(qual[1]) - 33 as q, case when read_id % 2 = 0 then 'A' else upper(seq)[2] end as ref from fastq_reads where length(seq) >= 2 and qual <> ''),
+    """with p as (select library, upper(seq)[i] as b, ascii(qual[i]) - 33 as q, case when read_id % 2 = 0 then 'A' else upper(seq)[i + 1] end as ref from fastq_reads, unnest(range(1, least(length(seq) - 1, length(qual)) + 1)) as x(i)),
     l as (select *, b = ref as same, log10(1 - pow(10, -q / 10.0)) as yes, -q / 10.0 - log10(3) as no from p where q > 0 and library is not null),
     x as (select library, case when same then yes else no end as r, case when same then no else yes end as a from l)
     select library, count(*) as depth, round(sum(r), 4) as hom_ref, round(sum(greatest(r, a) + log10(1 + pow(10, least(r, a) - greatest(r, a))) - log10(2)), 4) as het, round(sum(a), 4) as hom_alt from x group by library""",
@@ -414,8 +409,9 @@ def reference_confidence(spark, d):
     from strandloom.operators import genotyping as gt
 
     t = table(spark, d, "fastq_reads").filter("length(seq) >= 2 and qual <> '' and library is not null")
-    s = F.upper("seq")
-    t = t.select("library", F.substr(s, F.lit(1), F.lit(1)).alias("b"), (F.ascii("qual") - 33).alias("q"), F.when(F.col("read_id") % 2 == 0, "A").otherwise(F.substr(s, F.lit(2), F.lit(1))).alias("ref"))
+    t = t.select("library", "read_id", F.upper("seq").alias("s"), "qual", F.explode(F.sequence(F.lit(1), F.least(F.length("seq") - 1, F.length("qual")))).alias("i"))
+    at = lambda c, i: F.substr(c, i, F.lit(1))
+    t = t.select("library", at("s", F.col("i")).alias("b"), (F.ascii(at("qual", F.col("i"))) - 33).alias("q"), F.when(F.col("read_id") % 2 == 0, "A").otherwise(at("s", F.col("i") + 1)).alias("ref"))
     return gt.reference_confidence(t, ["library"], "b", "q", "ref").select("library", "depth", *[F.round(c, 4).alias(c) for c in ("hom_ref", "het", "hom_alt")])
 
 

@@ -43,8 +43,21 @@ def p2_found(spark, d) -> DataFrame:
     return _judged(spark, d)[1].select("line_id", "reason").distinct()
 
 
-for _kind in ("vcf", "sam", "bed"):
-    REG.add(f"p2_valid_{_kind}")(lambda spark, d, k=_kind: rejects.typed_records(_judged(spark, d)[0], k))
+def _typed(kind: str, columns: str, rest: str = "") -> str:
+    """The fields of the valid lines in order as ``name type``, and those behind them in a list."""
+    cols = [f"try_cast(f[{i + 1}] as {t}) as {n}" for i, (n, t) in enumerate(c.split() for c in columns.split(", "))]
+    if rest:
+        cols.append(f"f[{len(cols) + 1}:] as {rest}")
+    return _JUDGED + f"select line_id, {', '.join(cols)} from v join j using (line_id) where file_kind = '{kind}' and reason is null"
+
+
+_VALID = {
+    "vcf": _typed("vcf", "chrom varchar, pos bigint, id varchar, ref varchar, alt varchar, qual double, filters varchar, info varchar, format_keys varchar", "samples"),
+    "sam": _typed("sam", "qname varchar, flag int, rname varchar, pos bigint, mapq int, cigar varchar, rnext varchar, pnext bigint, tlen int, seq varchar, qual varchar", "optionals"),
+    "bed": _typed("bed", "chrom varchar, start_pos bigint, end_pos bigint, name varchar, score int, strand varchar, thick_start bigint, thick_end bigint, item_rgb varchar, block_count int, block_sizes varchar, block_starts varchar"),
+}
+for _kind, _sql in _VALID.items():
+    REG.add(f"p2_valid_{_kind}", _sql)(lambda spark, d, k=_kind: rejects.typed_records(_judged(spark, d)[0], k))
 
 #: Share of a table's rows from which a chromosome counts as heavy.
 HEAVY = 0.03

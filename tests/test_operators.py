@@ -12,8 +12,8 @@ from strandloom.operators import order
 from tests.conftest import rows
 
 
-@pytest.mark.parametrize("width, salts", [(1, 1), (16, 1), (16, 3), (None, 1)])
-def test_interval_join(spark, width, salts):
+@pytest.mark.parametrize("width, part", [(1, 1000), (16, 1000), (16, 3), (16, 1), (None, 1000)])
+def test_interval_join(spark, width, part):
     rng = random.Random(1)
     make = lambda n, first: [(first + i, rng.choice(["a", "b", None]), b := rng.choice([None, *range(60)]), None if b is None else b + rng.choice([0, 1, 5, 70])) for i in range(n)]
     left, right = make(60, 0), make(60, 100)
@@ -22,7 +22,7 @@ def test_interval_join(spark, width, salts):
     a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
     meet = lambda x, y: x[1] is not None and x[1] == y[1] and None not in (x[2], y[2]) and x[2] < y[3] and y[2] < x[3]
     pairs = sorted((x[0], y[0]) for x in left for y in right if meet(x, y))
-    run = lambda how: ij.interval_join(a, b, ["chrom"], how, width=width, salts=salts)
+    run = lambda how: ij.interval_join(a, b, ["chrom"], how, width=width, part=part)
     assert sorted((r.id, r.r_id) for r in run("inner").collect()) == pairs
     hit = {x for x, _ in pairs}
     assert sorted(r.id for r in run("semi").collect()) == sorted(x[0] for x in left if x[0] in hit)

@@ -44,8 +44,8 @@ def test_fastq_over_several_lines():
 
 def test_wig(spark, tmp_path):
     p = tmp_path / "a.wig"
-    p.write_text("browser hide all\n#c\ntrack type=wiggle_0\nvariableStep chrom=chr19 span=150\n49304701 10.0\n49304901 12.5\nfixedStep chrom=chr2 start=100 step=300 span=200\n1000\n900\n")
-    assert rows(sources.read(spark, str(p))) == sorted([("chr19", 49304701, 150, 10.0), ("chr19", 49304901, 150, 12.5), ("chr2", 100, 200, 1000.0), ("chr2", 400, 200, 900.0)], key=str)
+    p.write_text("browser hide all\n#c\ntrack type=wiggle_0 name=tides\nvariableStep chrom=chrQ7 span=40\n8123 3.25\n9007 0.5\nfixedStep chrom=chrK2 start=61 step=70 span=35\n18\n27\n")
+    assert rows(sources.read(spark, str(p))) == sorted([("chrQ7", 8123, 40, 3.25), ("chrQ7", 9007, 40, 0.5), ("chrK2", 61, 35, 18.0), ("chrK2", 131, 35, 27.0)], key=str)
 
 
 def test_line_formats(spark, tmp_path):
@@ -54,17 +54,17 @@ def test_line_formats(spark, tmp_path):
         p.write_text(body)
         return sources.read(spark, str(p)).collect()
 
-    sam = read("a.sam", "@HD\tVN:1\nr004\t4\tref\t16\t30\t6M14N1I5M\t*\t0\t0\tATAGCTCTCAGC\t*\nr1\t99\tref\t7\t30\t8M\t=\t37\t39\tTTAG\t*\tNM:i:1\tXX:B:S,1\n")
-    assert sam[0].optionals == [] and sam[1].optionals == ["NM:i:1", "XX:B:S,1"] and sam[1].pos == 7
-    vcf = read("a.vcf", "##fileformat=VCFv4.0\n#CHROM\n20\t1110696\trs6040355\tA\tG,T\t67\tPASS\tNS=2\tGT:GQ\t1|2:21\t2|1:2\t2/2:35\n")
-    assert (vcf[0].chrom, vcf[0].pos, vcf[0].qual, len(vcf[0].samples)) == ("20", 1110696, 67.0, 3)
+    sam = read("a.sam", "@HD\tVN:1\nlark\t16\tquayside\t812\t11\t3M9N2I4M\t*\t0\t0\tGGCATTACA\t*\nwren\t83\tquayside\t55\t44\t5M\t=\t20\t-40\tCATGA\t*\tNM:i:3\tZQ:B:S,8\n")
+    assert sam[0].optionals == [] and sam[1].optionals == ["NM:i:3", "ZQ:B:S,8"] and sam[1].pos == 55
+    vcf = read("a.vcf", "##fileformat=VCFv4.3\n#CHROM\nK4\t70215\tlark9\tC\tCA,G\t12.5\tlow\tDP=8\tGT:DP\t0|1:4\t1|1:3\t0|2:1\n")
+    assert (vcf[0].chrom, vcf[0].pos, vcf[0].qual, len(vcf[0].samples)) == ("K4", 70215, 12.5, 3)
     bed = read("a.bed", "browser x\ntrack y\nchr1\t1\t5\nchr2\t3\t9\tn\t7\t-\t3\t9\t1,2,3\t2\t1,2,\t0,3,\n")
     assert (bed[0].start, bed[0].score, bed[0].item_rgb, bed[0].block_sizes, bed[0].name) == (1, 0, "0,0,0", "0", None)
     assert bed[1].block_count == 2
     graph = read("a.bedgraph", "track\nchr1\t0\t9\t1.5\n")
     assert tuple(graph[0]) == ("chr1", 0, 9, 1.5)
-    gff = read("a.gtf", '#x\nchr1\tE\tgene\t10000\t15000\t.\t+\t.\tgene_id "a b"; level 2;\n')
-    assert (gff[0].start, gff[0].score, gff[0].phase) == (10000, 0.0, 0)
+    gff = read("a.gtf", '#x\nchrK\tmill\tgene\t811\t946\t.\t+\t.\tgene_id "a b"; level 2;\n')
+    assert (gff[0].start, gff[0].score, gff[0].phase) == (811, 0.0, 0)
     assert gff[0].attributes == {"gene_id": "a b", "level": "2"}
     assert read("b.gff3", "chr1\t.\tx\t1\t2\t.\t+\t.\tID=x;Name=y\n")[0].attributes == {"ID": "x", "Name": "y"}
     assert text.header(spark, str(tmp_path / "a.vcf"), "vcf").count() == 2
@@ -75,18 +75,18 @@ def test_line_formats(spark, tmp_path):
 
 
 def test_annotations(spark):
-    mirtron = frame(spark, ["##gff", "seq_id\tsource\ttype\tstart\tend\tscore\tstrand\tphase\tatributtes", "7 \t mirtronDB \t SO \t 66381669 \t 66381690 \t . \t - \t . \t mirtronDB_id:m;organism:mmusculus;arm_steem:3p;miRBase_id:mmu-mir-7057;", "7\t a\t b\t  \t  \t.\t-\t.\tarm_steem:3p;miRBase_id:x;", "10\tm\tS\t5\t9\t.\t+\t.\tarm_steem:3p;miRBase_id:-;"])
-    assert rows(text.mirtron_db(mirtron)) == [("chr7", 66381668, 66381690, "-", "mirtron", "mmu-mir-7057-3p")]
-    base = frame(spark, ["# x", "chr1\t.\tmiRNA_primary_transcript\t1\t9\t.\t+\t.\tID=a;Name=b", "chr1\t.\tmiRNA\t12426016\t12426038\t.\t+\t.\tID=a;Alias=a;Name=mmu-miR-6341;Derives_from=b"])
-    assert rows(text.mir_base(base)) == [("chr1", 12426015, 12426038, "+", "miRNA", "mmu-miR-6341")]
-    gtf = frame(spark, ['chr1\tE\tgene\t3102016\t3102125\t.\t+\t.\tgene_id "E"; gene_type "snRNA"; gene_name "Gm26206"; level 3;', "chr1\tE\texon\t1\t2\t.\t+\t.\tx"])
-    assert rows(text.gencode(gtf)) == [("chr1", 3102015, 3102125, "+", "snRNA", "Gm26206")]
-    gff3 = frame(spark, ["chr1\tE\tgene\t2\t9\t.\t-\t.\tID=E;gene_type=snRNA;gene_name=Gm1"])
-    assert rows(text.gencode(gff3, "gff3")) == [("chr1", 1, 9, "-", "snRNA", "Gm1")]
-    trna = frame(spark, ['chr1\tE\ttRNA\t7930279\t7930348\t.\t-\t.\tgene_id "33323"; transcript_id "33323"; gene_type "Pseudo_tRNA";'])
-    assert rows(text.gencode_trna(trna)) == [("chr1", 7930278, 7930313, "-", "tRF", "Pseudo-33323-3p"), ("chr1", 7930313, 7930348, "-", "tRF", "Pseudo-33323-5p")]
-    gt = frame(spark, ["chr1\t4913786\t4913856\ttRX-Arg-NNN-482-1\t1000\t+", "chrUn_1\t1\t2\tx\t1\t+"])
-    assert rows(text.gtrna_db(gt)) == [("chr1", 4913786, 4913821, "+", "tRF", "Arg-NNN_482_1-5p"), ("chr1", 4913821, 4913856, "+", "tRF", "Arg-NNN_482_1-3p")]
+    mirtron = frame(spark, ["##gff", "seq_id\tsource\ttype\tstart\tend\tscore\tstrand\tphase\tatributtes", "K3 \t own \t kind \t 2401 \t 2430 \t . \t + \t . \t mirtronDB_id:w;organism:heron;arm_steem:5p;miRBase_id:her-mir-12;", "K3\t a\t b\t  \t  \t.\t-\t.\tarm_steem:3p;miRBase_id:x;", "8\tm\tS\t5\t9\t.\t+\t.\tarm_steem:3p;miRBase_id:-;"])
+    assert rows(text.mirtron_db(mirtron)) == [("chrK3", 2400, 2430, "+", "mirtron", "her-mir-12-5p")]
+    base = frame(spark, ["# x", "chrK\t.\tmiRNA_primary_transcript\t1\t9\t.\t+\t.\tID=a;Name=b", "chrK\t.\tmiRNA\t311\t335\t.\t-\t.\tID=a;Alias=a;Name=her-miR-40;Derives_from=b"])
+    assert rows(text.mir_base(base)) == [("chrK", 310, 335, "-", "miRNA", "her-miR-40")]
+    gtf = frame(spark, ['chrK\tmill\tgene\t901\t978\t.\t-\t.\tgene_id "E"; gene_type "snRNA"; gene_name "Heron5"; level 3;', "chrK\tmill\texon\t1\t2\t.\t+\t.\tx"])
+    assert rows(text.gencode(gtf)) == [("chrK", 900, 978, "-", "snRNA", "Heron5")]
+    gff3 = frame(spark, ["chrK\tmill\tgene\t2\t9\t.\t-\t.\tID=E;gene_type=snRNA;gene_name=Heron6"])
+    assert rows(text.gencode(gff3, "gff3")) == [("chrK", 1, 9, "-", "snRNA", "Heron6")]
+    trna = frame(spark, ['chrK\tmill\ttRNA\t5001\t5080\t.\t+\t.\tgene_id "71"; transcript_id "71"; gene_type "Leu_tRNA";'])
+    assert rows(text.gencode_trna(trna)) == [("chrK", 5000, 5040, "+", "tRF", "Leu-71-5p"), ("chrK", 5040, 5080, "+", "tRF", "Leu-71-3p")]
+    gt = frame(spark, ["chrK\t620\t700\ttRNA-Ser-AGA-3-2\t1000\t-", "chrUn_1\t1\t2\tx\t1\t+"])
+    assert rows(text.gtrna_db(gt)) == [("chrK", 620, 660, "-", "tRF", "Ser-AGA_3_2-3p"), ("chrK", 660, 700, "-", "tRF", "Ser-AGA_3_2-5p")]
     with pytest.raises(Exception):
         text.gtrna_db(frame(spark, ["chr1\t1\t2\ttwo-parts\t1\t+"])).collect()
 

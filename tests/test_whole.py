@@ -52,11 +52,11 @@ def test_expression_of_whole_genes(spark, tmp_path):
     q = entry.queries()
     genes = {g for _, g in m}
     assert len(genes) > 70
-    got = {(r["sample"], r.gene): r.value for r in q["expression_filled_whole"](spark, d).collect()}
+    got = {(r["sample"], r.gene): r.value for r in q["expression_filled"](spark, d).collect()}
     assert got == {(s, g): m.get((s, g), 0) for s in "+-" for g in genes}
     ranked = {s: sorted((got[s, g], g) for g in genes) for s in "+-"}
     mean = [(x[0] + y[0]) / 2 for x, y in zip(ranked["+"], ranked["-"])]
-    for r in q["expression_quantile_normalised_whole"](spark, d).collect():
+    for r in q["expression_quantile_normalised"](spark, d).collect():
         at = [k for k, (v, _) in enumerate(ranked[r["sample"]]) if v == r.value]
         assert abs(r.normalised - sum(mean[k] for k in at) / len(at)) < 1e-5
 
@@ -171,7 +171,7 @@ def test_alignment_queries_take_whole_reads(spark, tmp_path):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         return row[-1]
 
-    assert {r.read_id: r.score for r in q["align_global_edits_whole"](spark, d).collect()} == {i: -edits(s, s[7:]) for i, s, _ in reads}
+    assert {r.read_id: r.score for r in q["align_global_edits"](spark, d).collect()} == {i: -edits(s, s[7:]) for i, s, _ in reads}
     assert {r.read_id for r in q["align_overhang"](spark, d).collect()} == set(size)
     local = {r.read_id: r for r in q["align_local"](spark, d).collect()}
     assert all(local[i].score == size[i] and local[i].end_at - local[i].begin_at == size[i] for i in (1, 2, 3))

@@ -44,8 +44,8 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 def stripped(line: Column) -> Column:
     """Without one carriage return at the end and then one tab at the end."""
-    cr = F.when(line.endswith("\r"), F.expr("substring(line, 1, length(line) - 1)")).otherwise(line)
-    return F.regexp_replace(cr, r"\t\z", "")
+    drop = lambda x, c: F.when(x.endswith(c), F.left(x, F.length(x) - 1)).otherwise(x)
+    return drop(drop(line, "\r"), "\t")
 
 
 def _quoted_fields(body: Column) -> Column:
@@ -82,13 +82,15 @@ def split_lines(lines: DataFrame) -> DataFrame:
     kinds = base.filter(F.col("file_kind").isin(*HEADERS))
     named = kinds.filter(F.col("file_kind").isin(*QUOTED) & F.col("body").startswith("#") & ~F.col("body").startswith("##"))
     expected = named.groupBy(F.col("file_name").alias("of_name"), F.col("file_kind").alias("of_kind")).agg(F.size(F.split(F.min_by("body", F.struct("line_no", "line_id")), "\t")).alias("expected"))
+    # of known size once written, so the lines aren't shuffled to meet a table of a row for each file
+    expected = materialise(expected, "columns")
     header = F.lit(False)
     for kind, marks in HEADERS.items():
         for m in marks:
             header = header | ((F.col("file_kind") == kind) & F.col("body").startswith(m))
     data = kinds.filter(~header)
     joined = data.join(expected, F.expr("file_name <=> of_name and file_kind = of_kind"), "left").drop("of_name", "of_kind")
-    risky = F.col("file_kind").isin(*QUOTED) & F.col("body").rlike('(^|\t)"')
+    risky = F.col("file_kind").isin(*QUOTED) & (F.col("body").startswith('"') | F.col("body").contains('\t"'))
     parsed = joined.withColumn("parsed", F.when(risky, _quoted_fields(F.col("body"))))
     return parsed.select(
         "line_id", "file_kind", "file_name", "expected",
@@ -100,10 +102,10 @@ def split_lines(lines: DataFrame) -> DataFrame:
 def _passes() -> Column:
     """Whether ``value`` passes ``check``; ``contig_bp`` and ``peer`` come from the same line."""
     v = F.col("value")
-    digits = v.rlike(r"\A[0-9]+\z")
-    number = F.when(digits, F.regexp_replace(v, r"\A0+(?=[0-9])", "")).try_cast("decimal(38,0)")
+    whole_number = lambda x: F.when(x.rlike(r"\A0*[0-9]{1,18}\z"), x).try_cast("long")
+    number = whole_number(v)
     whole = F.coalesce(number.between(F.col("low"), F.coalesce(F.col("high"), F.lit(UINT32))), F.lit(False))
-    peer = F.when(F.col("peer").rlike(r"\A[0-9]+\z"), F.col("peer")).try_cast("decimal(38,0)")
+    peer = whole_number(F.col("peer"))
     quals = (v == "*") | (v.rlike(r"\A[!-~]*\z") & ((F.col("peer") == "*") | (F.length(v) == F.length("peer"))))
     checks = {
         "contig": F.col("contig_bp").isNotNull(),

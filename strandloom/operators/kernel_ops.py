@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +26,14 @@ SAM_NAMES = [c.split()[0] for c in schemas.SAM.split(", ")]
 _SAM = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Gathered rows over all shuffle partitions: kernels take long over few bytes, so partitions must not be merged by their size.
+
+    The hash is of the keys' hash, as a partitioning by the keys themselves would be taken for the one there is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
+
+
 def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [()] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
@@ -90,7 +97,7 @@ def haplotype_likelihoods(reads: DataFrame, haplotypes: DataFrame, region: str =
                 read, hap = (list(x) for x in zip(*((a, c) for a, c, _ in of))) if of else ([], [])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(where, pa.int64())), pa.array(read, b.schema.field(1).type.value_type.field("read").type), pa.array(hap, b.schema.field(2).type.value_type.field("haplotype").type), pa.array(capped, pa.float64())], ["region", "read", "haplotype", "lik"])
 
-    return r.join(h, region).mapInArrow(run, f"region {kind}, read {kinds['read']}, haplotype {kinds['haplotype']}, lik double")
+    return _spread(r.join(h, region), region).mapInArrow(run, f"region {kind}, read {kinds['read']}, haplotype {kinds['haplotype']}, lik double")
 
 
 def consensus(df: DataFrame, cluster: str, order: str, seq: str, match: int = 5, mismatch: int = -4, gap: int = -8, extend: int | None = None, local: bool = False, least_coverage: int = 0) -> DataFrame:
@@ -99,20 +106,35 @@ def consensus(df: DataFrame, cluster: str, order: str, seq: str, match: int = 5,
     Null and empty sequences don't take part. A cluster is one task's work, so clusters must be bounded.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seqs = [s for s in pdf.sort_values(["o_", "s_"])["s_"] if s]
-        g = poa.build(seqs, match, mismatch, gap, extend, local)
-        return pd.DataFrame({"cluster": [pdf["c_"].iloc[0]], "n_seqs": [len(seqs)], "consensus": [g.consensus(least_coverage)], "msa": [g.msa()]})
-
     kind = df.schema[cluster].dataType.simpleString()
-    chosen = df.filter(F.col(cluster).isNotNull()).select(F.col(cluster).alias("c_"), F.col(order).alias("o_"), F.col(seq).alias("s_"))
-    return chosen.groupBy("c_").applyInPandas(run, f"cluster {kind}, n_seqs int, consensus string, msa array<string>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                b = whole.slice(i, 500)
+                n, texts, rows = [], [], []
+                for members in b.column(1).to_pylist():
+                    seqs = [m["s_"] for m in members if m["s_"]]
+                    g = poa.build(seqs, match, mismatch, gap, extend, local)
+                    n.append(len(seqs))
+                    texts.append(g.consensus(least_coverage))
+                    rows.append(g.msa())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(texts, pa.string()), pa.array(rows, pa.list_(pa.string()))], ["cluster", "n_seqs", "consensus", "msa"])
+
+    chosen = df.filter(F.col(cluster).isNotNull()).groupBy(F.col(cluster).alias("c_")).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o_"), F.col(seq).alias("s_")))).alias("members"))
+    return _spread(chosen, "c_").mapInArrow(run, f"cluster {kind}, n_seqs int, consensus string, msa array<string>")
 
 
 def reference_blocks(reference: DataFrame, name: str = "name", seq: str = "seq", most: int = MOST_BASES) -> list[list[tuple[str, str]]]:
-    """The chromosomes in blocks of at most ``most`` bases each, by name; only the sizes are read first."""
+    """The chromosomes in blocks of at most ``most`` bases each, by name; only the sizes are read first.
+
+    Two sequences of one name, and a longer chromosome, are errors.
+    """
     clean = F.upper(F.regexp_replace(F.coalesce(F.col(seq), F.lit("")), r"\s", ""))
     sizes = reference.select(name, F.length(clean).alias("n")).filter("n > 0").orderBy(name).collect()
+    repeated = sorted({a[0] for a, b in zip(sizes, sizes[1:]) if a[0] == b[0]})
+    if repeated:
+        raise ValueError(f"several sequences are named {', '.join(map(str, repeated[:5]))}; name each differently")
     if any(r.n > most for r in sizes):
         raise ValueError(f"a chromosome has more than {most} bases; cut it into overlapping pieces first")
     groups: list[list[str]] = []
@@ -206,6 +228,17 @@ def map_pairs(pairs: DataFrame, reference: DataFrame) -> DataFrame:
 TILE = 100
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every tile's stretch of the reference with a tile on either side, cut in one pass over each sequence."""
+    for b in batches:
+        for name, text in zip(b.column(0).to_pylist(), b.column(1)):
+            text = text.as_py()
+            n = max(-(-(len(text) - TILE) // TILE), 1)
+            for first in range(0, n, 10_000):
+                at = range(first, min(n, first + 10_000))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array([text[i * TILE : (i + 3) * TILE] for i in at], pa.string())], ["r_", "tile_", "window"])
+
+
 def call_variants(alignments: DataFrame, reference: DataFrame, per_start: int = 5, strict_reference: bool = False) -> DataFrame:
     """``chrom, pos, ref, alt, qual, genotype, gq, pl``: variants by local assembly, tile by tile.
 
@@ -220,9 +253,7 @@ def call_variants(alignments: DataFrame, reference: DataFrame, per_start: int =
     rows = fixed.select("rname", (c("x.pos") - 1).alias("begin"), sm.end(c("x.pos"), c("x.steps")).alias("end"), sm.hard_clip(c("x.seq"), c("x.steps")).alias("seq"), sm.hard_clip(c("x.qual"), c("x.steps")).alias("qual"), "qname")
     tiled = gn.tiles(rows, "begin", None, TILE).groupBy("rname", "tile").agg(F.collect_list(F.struct("begin", "end", "seq", "qual", "qname")).alias("reads"))
     text = F.upper(F.regexp_replace("seq", r"\s", ""))
-    ref = reference.select(F.col("name").alias("r_"), text.alias("t_"), F.length(text).alias("n_"))
-    ref = ref.withColumn("tile_", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil((F.col("n_") - TILE) / TILE) - 1, F.lit(0)).cast("long"))))
-    ref = ref.select("r_", "tile_", F.substr("t_", (F.col("tile_") * TILE + 1).cast("int"), F.lit(3 * TILE)).alias("window"))
+    ref = reference.select("name", text.alias("t_")).filter("t_ is not null").mapInArrow(_windows, "r_ string, tile_ long, window string")
     work = tiled.join(ref, (c("rname") == c("r_")) & (c("tile") == c("tile_"))).select("rname", "tile", "window", "reads")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +277,7 @@ def call_variants(alignments: DataFrame, reference: DataFrame, per_start: int =
                     out.append((chrom, v.begin + 1, v.alleles[0], v.alleles[1:], v.qual, f"{v.genotype[0]}|{v.genotype[1]}", v.gq, v.pls))
             yield _batch(out, [pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.string(), pa.int32(), pa.list_(pa.int32())], ["chrom", "pos", "ref", "alt", "qual", "genotype", "gq", "pl"])
 
-    return work.mapInArrow(run, "chrom string, pos long, ref string, alt array<string>, qual double, genotype string, gq int, pl array<int>")
+    return _spread(work, "rname", "tile").mapInArrow(run, "chrom string, pos long, ref string, alt array<string>, qual double, genotype string, gq int, pl array<int>")
 
 
 def detect_adapters(pairs: DataFrame, options: trimming.Options = trimming.Options(), sensitive: bool = False) -> tuple[str, str]:

@@ -121,3 +121,32 @@ def test_variants(spark):
     assert one(spark, vr.kind(a, b), vr.kind(b, a), vr.kind(a, a), a="A", b="AC") == ["insertion", "deletion", "snp"]
     assert abs(vr.fisher_exact(3, 1, 1, 3) - 0.485714) < 1e-5 and vr.fisher_exact(0, 0, 0, 0) == 1.0
     assert one(spark, vr.fisher_strand(F.col("n"), F.lit(1), F.lit(1), F.col("n")), vr.fisher_strand(F.lit(None).cast("long"), F.lit(1), F.lit(1), F.lit(1)), n=500)[1] is None
+
+
+def test_gamma_weights_and_array_helpers(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from strandloom.functions import mathx as mx
+
+    xs = [1e-3, 0.5, 1.0, 1.5, 2.0, 3.7, 9.99, 10.0, 50.0, 1e6]
+    df = spark.createDataFrame([(x,) for x in [*xs, 0.0, -1.0]] + [(None,)], "x double")
+    got = {r.x: r.g for r in df.select("x", mx.log10_gamma(F.col("x")).alias("g")).collect()}
+    assert all(math.isclose(got[x], math.lgamma(x) / math.log(10), rel_tol=1e-9, abs_tol=1e-9) for x in xs)
+    assert got[0.0] is None and got[-1.0] is None and got[None] is None
+    one = spark.createDataFrame([([1.0, 3.0], [2.0, 5.0], [1.0])], "a array<double>, b array<double>, c array<double>")
+    plus = lambda x, y: x + y
+    r = one.select(mx.sum_log10(F.col("a")).alias("s"), mx.dirichlet_log10_mean_weights(F.col("a")).alias("w"), mx.binary_transform(F.col("a"), F.col("b"), plus).alias("p"), mx.binary_transform(F.col("a"), F.col("c"), plus).alias("n"), mx.format_print(F.col("b"), ";").alias("t")).first()
+    assert math.isclose(r.s, 1010.0) and r.p == [3.0, 8.0] and r.n is None and r.t == "2.0;5.0"
+    assert [round(x, 6) for x in r.w] == [round(math.log10(x), 6) for x in (0.25, 0.75)]
+
+
+def test_kmer_hits(spark):
+    from pyspark.sql import functions as F
+
+    from strandloom.functions import seq as sq
+
+    q = "ACGTACGTTTGCAACGTACGTA"
+    df = spark.createDataFrame([(q, q), (q, ""), ("ACG", q), (q, None)], "q string, w string")
+    assert [r[0] for r in df.select(sq.kmer_hits(F.col("q"), F.col("w"))).collect()] == [3, 0, 0, 0]

@@ -124,3 +124,23 @@ def test_entry_points_without_a_session():
     code = "import __spark_entry__ as e; print('NAMES', len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
     assert out.stdout.startswith("NAMES "), out.stderr[-500:]
+
+
+def test_mates_of_one_name_are_paired_one_by_one(spark):
+    from strandloom.plans import pipe
+
+    a = spark.createDataFrame([("x/1", "AC", "II"), ("x/1", "GG", "II"), ("y", "T", "I"), ("z/1", "A", "I")], "name string, seq string, qual string")
+    b = spark.createDataFrame([("x/2", "CC", "II"), ("x/2", "TT", "II"), ("y c", "G", "I")], "name string, seq string, qual string")
+    got = sorted((r.name, r.seq1, r.seq2) for r in a.transform(pipe.zip_mates(b)).collect())
+    assert got == [("x", "AC", "CC"), ("x", "GG", "TT"), ("y", "T", "G")]
+
+
+def test_sequences_of_one_name_are_an_error(spark):
+    import pytest
+
+    from strandloom.operators import kernel_ops
+
+    df = spark.createDataFrame([("a", "ACGT"), ("a", "GGGT"), ("b", "")], "name string, seq string")
+    with pytest.raises(ValueError, match="named a"):
+        kernel_ops.reference_blocks(df)
+    assert kernel_ops.reference_blocks(df.filter("seq <> 'ACGT'")) == [[("a", "GGGT")]]

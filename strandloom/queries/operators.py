@@ -67,6 +67,33 @@ def overlap_count(spark, d):
     return ij.interval_join(f, f, ["chrom", "strand"], "count").select("feat_id", "n_overlaps")
 
 
+_GENES = """g as (select gene_row_id, coalesce(n.usual, trim(b.seqid)) as chrom, start_pos as "begin", end_pos as "end", gene_name
+  from (select distinct on (gene_row_id) * from bedsix_genes order by gene_row_id, loaded_at, start_pos, end_pos, seqid) b left join n on trim(b.seqid) = n.spelling where start_pos >= 0 and end_pos >= start_pos and nullif(trim(b.seqid), '') is not null)"""
+_IN = 'g.chrom = f.chrom and f."begin" < g."end" and g."begin" < f."end"'
+
+
+def genes(spark, d) -> DataFrame:
+    t = gn.best_per_place(table(spark, d, "bedsix_genes"), ["gene_row_id"], [F.col(c) for c in ("loaded_at", "start_pos", "end_pos", "seqid")]).filter("start_pos >= 0 and end_pos >= start_pos")
+    t = usual_name(F.col("seqid"), table(spark, d, "contig_names"), t).filter("usual is not null")
+    return t.select("gene_row_id", F.col("usual").alias("chrom"), F.col("start_pos").alias("begin"), F.col("end_pos").alias("end"), "gene_name")
+
+
+@REG.add("overlap_genes", f"with {_NAMED}, {_GENES} select feat_id, gene_row_id from f join g on {_IN}")
+def overlap_genes(spark, d):
+    return ij.interval_join(features(spark, d), genes(spark, d), ["chrom"]).select("feat_id", F.col("r_gene_row_id").alias("gene_row_id"))
+
+
+@REG.add("overlap_genes_none", f"with {_NAMED}, {_GENES} select feat_id from f where not exists (select 1 from g where {_IN})")
+def overlap_genes_none(spark, d):
+    return ij.interval_join(features(spark, d), genes(spark, d), ["chrom"], "anti").select("feat_id")
+
+
+@REG.add("annotation_counts", f"with {_NAMED}, {_GENES}, h as (select feat_id, min(gene_name) as gene, count(*) as n from f join g on {_IN} where gene_name is not null group by feat_id) select 'all' as sample, gene, count(*) as value from h where n = 1 group by gene")
+def annotation_counts(spark, d):
+    hits = ij.interval_join(features(spark, d), genes(spark, d).filter("gene_name is not null"), ["chrom"])
+    return ex.gene_counts(hits.withColumn("sample", F.lit("all")), "feat_id", "r_gene_name", "sample")
+
+
 @REG.add("unique_annotation", f"with {_NAMED}, h as (select var_id, min(name) as gene, count(*) as n from v join f on {_MEET} join (select distinct on (feat_id) feat_id, name from bed_features order by feat_id, loaded_at, start_pos, end_pos, chrom) using (feat_id) where name is not null group by var_id) select 'all' as sample, gene, count(*) as value from h where n = 1 group by gene")
 def unique_annotation(spark, d):
     names = gn.best_per_place(table(spark, d, "bed_features"), ["feat_id"], [F.col(c) for c in ("loaded_at", "start_pos", "end_pos", "chrom")]).select("feat_id", "name")
@@ -83,9 +110,14 @@ def mate_band_join(spark, d):
     return p.select("aln_id", F.col("r_aln_id").alias("mate_id"), F.abs(F.col("pos") - F.col("r_pos")).alias("apart"))
 
 
-@REG.add("read_pair_zip", "with r as (select distinct read_id, regexp_replace(name, '/[12]$', '') as stem, right(name, 2) as mate from fastq_reads where name like '%/1' or name like '%/2') select a.read_id, b.read_id as mate_id from r a join r b on a.stem = b.stem and a.mate = '/1' and b.mate = '/2'")
+@REG.add("read_pair_zip", """with r as (select distinct read_id, regexp_replace(name, '/[12]$', '') as stem, right(name, 2) as mate from fastq_reads where name like '%/1' or name like '%/2'
+ union select aln_id, qname, case when flag & 64 <> 0 then '/1' else '/2' end from sam_alignments where flag & 1 <> 0 and flag & 192 in (64, 128))
+ select a.read_id, b.read_id as mate_id from r a join r b on a.stem = b.stem and a.mate = '/1' and b.mate = '/2'""")
 def read_pair_zip(spark, d):
-    r = table(spark, d, "fastq_reads").filter("name like '%/1' or name like '%/2'").select("read_id", F.regexp_replace("name", "/[12]$", "").alias("stem"), F.right("name", F.lit(2)).alias("mate")).distinct()
+    """Mates by name, among the reads and among the alignments."""
+    r = table(spark, d, "fastq_reads").filter("name like '%/1' or name like '%/2'").select("read_id", F.regexp_replace("name", "/[12]$", "").alias("stem"), F.right("name", F.lit(2)).alias("mate"))
+    a = table(spark, d, "sam_alignments").filter("flag & 1 <> 0 and flag & 192 in (64, 128)").select(F.col("aln_id").alias("read_id"), F.col("qname").alias("stem"), F.when(F.col("flag").bitwiseAND(64) != 0, "/1").otherwise("/2").alias("mate"))
+    r = r.unionByName(a).distinct()
     b = r.filter("mate = '/2'").select("stem", F.col("read_id").alias("mate_id"))
     return r.filter("mate = '/1'").join(b, "stem").select("read_id", "mate_id")
 

@@ -21,6 +21,10 @@ from strandloom.operators import genome as gn
 
 #: Bases of a reference block: bounds what is collected and broadcast at once.
 MOST_BASES = 64_000_000
+#: Bases that two pieces of a longer chromosome share: more than two mates or a read can span.
+OVERLAP = 10_000
+#: Stands between a chromosome's name, a piece's first base, and the first base that belongs to the next piece.
+_PIECE = "\x1f"
 
 SAM_NAMES = [c.split()[0] for c in schemas.SAM.split(", ")]
 _SAM = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
@@ -128,30 +132,46 @@ def consensus(df: DataFrame, cluster: str, order: str, seq: str, match: int = 5,
 def reference_blocks(reference: DataFrame, name: str = "name", seq: str = "seq", most: int = MOST_BASES) -> list[list[tuple[str, str]]]:
     """The chromosomes in blocks of at most ``most`` bases each, by name; only the sizes are read first.
 
-    Two sequences of one name, and a longer chromosome, are errors.
+    A longer chromosome is cut into overlapping pieces, each a block of its own whose name tells
+    where it begins (see ``_placed``). Two sequences of one name are an error.
     """
     clean = F.upper(F.regexp_replace(F.coalesce(F.col(seq), F.lit("")), r"\s", ""))
     sizes = reference.select(name, F.length(clean).alias("n")).filter("n > 0").orderBy(name).collect()
     repeated = sorted({a[0] for a, b in zip(sizes, sizes[1:]) if a[0] == b[0]})
     if repeated:
         raise ValueError(f"several sequences are named {', '.join(map(str, repeated[:5]))}; name each differently")
-    if any(r.n > most for r in sizes):
-        raise ValueError(f"a chromosome has more than {most} bases; cut it into overlapping pieces first")
     groups: list[list[str]] = []
     held = 0
     for r in sizes:
+        if r.n > most:
+            continue
         if not groups or held + r.n > most:
             groups.append([])
             held = 0
         groups[-1].append(r[0])
         held += r.n
     out = []
+    whole = reference.select(F.col(name).alias("name_"), clean.alias("s"))
     for g in groups:
-        rows = reference.filter(F.col(name).between(g[0], g[-1])).select(name, clean.alias("s")).filter("s <> ''").orderBy(name, "s").collect()
-        out.append(list({r[0]: r.s for r in rows}.items()))
+        rows = whole.filter(F.col("name_").between(g[0], g[-1]) & F.length("s").between(1, most)).orderBy("name_").collect()
+        out.append([(r.name_, r.s) for r in rows])
+    for r in sizes:
+        step = most - min(OVERLAP, most // 2)
+        for first in range(0, r.n - (most - step), step) if r.n > most else ():
+            text = whole.filter(F.col("name_") == r[0]).select(F.substr("s", F.lit(first + 1), F.lit(most)).alias("s")).first().s
+            owned = first + step if first + most < r.n else r.n
+            out.append([(f"{r[0]}{_PIECE}{first}{_PIECE}{owned}", text)])
     return out
 
 
+def _placed(rname: str | None, pos: int | None) -> tuple[str | None, int | None, bool]:
+    """(chromosome, 1-based place, whether it belongs to this piece) of a place in a block."""
+    if not rname or _PIECE not in rname:
+        return rname, pos, True
+    name, first, owned = rname.split(_PIECE)
+    return name, pos + int(first), pos + int(first) <= int(owned)
+
+
 def map_small_rna(reads: DataFrame, reference: DataFrame, options: tails.Options = tails.Options()) -> DataFrame:
     """SAM rows of ``name, seq, qual`` reads; a row for each hit.
 
@@ -172,7 +192,10 @@ def map_small_rna(reads: DataFrame, reference: DataFrame, options: tails.Options
                     out = []
                     for pair, (_, seq, qual) in zip(tails.map_reads(shared.value, triples, options), triples):
                         for m in pair:
-                            out += [(*r, seq, qual, m.rank, m.found, len(m.hits), n) for r in tails.sam_rows(m)]
+                            rows = [(r, _placed(r[2], r[3])) for r in tails.sam_rows(m)]
+                            own = [(*r[:2], name, pos, *r[4:]) for r, (name, pos, mine) in rows if mine]
+                            twice = len(rows) - len(own)  # found in the next piece too
+                            out += [(*r, seq, qual, m.rank, m.found - twice, len(m.hits) - twice, n) for r in own]
                         # a read with too many hits here still counts against other blocks
                         if (m := pair[0]).found > options.most_hits:
                             out.append((m.name, 0, None, *[None] * 8, None, seq, qual, m.rank, m.found, 0, n))
@@ -213,7 +236,12 @@ def map_pairs(pairs: DataFrame, reference: DataFrame) -> DataFrame:
                     part = b.slice(i, 500)
                     cols = [["" if x is None else x for x in part.column(c).to_pylist()] for c in range(5)]
                     done = aligner.map_pairs(shared.value, [((q, s, t), (q, u, v)) for q, s, t, u, v in zip(*cols)])
-                    yield _batch([(*r, n) for p in done for r in p], [*_SAM, pa.int32()], [*SAM_NAMES, "block_"])
+                    rows = []
+                    for r in (r for p in done for r in p):
+                        name, pos, _ = _placed(r[2], r[3])
+                        mate, next_, _ = _placed(r[2] if r[6] == "=" else r[6], r[7])
+                        rows.append((*r[:2], name, pos, *r[4:6], "=" if r[6] == "=" else mate, next_, *r[8:], n))
+                    yield _batch(rows, [*_SAM, pa.int32()], [*SAM_NAMES, "block_"])
 
         rows = pairs.select("name", "seq1", "qual1", "seq2", "qual2").mapInArrow(run, schemas.SAM + ", block_ int")
         found = rows if found is None else found.unionByName(rows)

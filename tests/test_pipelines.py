@@ -34,8 +34,9 @@ def test_trim_align_sort_call(spark):
     assert mapped.limit(0).transform(pipe.call(reference)).count() == 0
     blocks = ko.reference_blocks(reference, most=3000)
     assert [[n for n, _ in b] for b in blocks] == [["c1"], ["c2"]]
-    with pytest.raises(ValueError):
-        ko.reference_blocks(reference, most=100)
+    pieces = [b[0] for b in ko.reference_blocks(reference, most=1000) if "\x1f" in b[0][0]]
+    assert [(n.split("\x1f")[0], *map(int, n.split("\x1f")[1:]), len(t)) for n, t in pieces] == [("c1", a, min(a + 500, 3000) if a < 2000 else 3000, 1000) for a in range(0, 2001, 500)]
+    assert all(t == ref[int(n.split("\x1f")[1]) :][:1000] for n, t in pieces)
 
 
 def test_blocks_give_the_same_mapping(spark, monkeypatch):
@@ -53,6 +54,25 @@ def test_blocks_give_the_same_mapping(spark, monkeypatch):
     assert [r[3] for r in whole[1]] == [301] * 4
 
 
+def test_pieces_of_a_long_chromosome_give_the_same_mapping(spark, monkeypatch):
+    rng = random.Random(12)
+    long, twin = dna(rng, 6000), dna(rng, 40)
+    long = long[:2480] + twin + long[2520:5000] + twin + long[5040:]
+    reference = spark.createDataFrame([("b", dna(rng, 900)), ("long", long), ("z", dna(rng, 700))], "name string, seq string")
+    pairs = [(f"q{a}", long[a : a + 100], "I" * 100, revcomp(long[a + 300 : a + 400]), "I" * 100) for a in range(0, 5600, 130)]
+    df = spark.createDataFrame(pairs, "name string, seq1 string, qual1 string, seq2 string, qual2 string")
+    small = [(f"s{a}", long[a : a + 25], "I" * 25) for a in range(0, 5900, 90)] + [("twin", twin[5:35], "I" * 30)]
+    sf = spark.createDataFrame(small, "name string, seq string, qual string")
+    columns = ["qname", "flag", "rname", "pos", "cigar", "rnext", "pnext", "tlen"]
+    run = lambda: (rows(ko.map_pairs(df, reference).select(*columns)), rows(ko.map_small_rna(sf, reference).select(*columns, "optionals")))
+    whole = run()
+    original = ko.reference_blocks
+    monkeypatch.setattr(ko, "reference_blocks", lambda r: original(r, most=2000))
+    assert len(ko.reference_blocks(reference)) == 6
+    assert run() == whole
+    assert [r[-1] for r in whole[1] if r[0] == "twin"] == [["NH:i:2"]] * 2
+
+
 def test_small_rna_counts(spark):
     rng = random.Random(3)
     text = dna(rng, 1500)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from strandloom import schemas
 from strandloom.functions import cigar as cg
 from strandloom.functions import sam as sm
-from strandloom.kernels import aligner, alignment, assembly, genotyping, pairhmm, poa, suffix, tails, trimming
+from strandloom.kernels import aligner, alignment, assembly, fmindex, genotyping, pairhmm, poa, suffix, tails, trimming
 from strandloom.operators import genome as gn
 
 #: Bases of a reference block: bounds what is collected and broadcast at once.
@@ -69,6 +70,27 @@ def suffix_arrays(df: DataFrame, key: str, seq: str, k: int | None = None) -> Da
     return df.select(key, seq).mapInArrow(run, f"rec_key {kind}, place long, start_at long")
 
 
+def find_words(df: DataFrame, key: str, seq: str, words: str) -> DataFrame:
+    """``rec_key, word, places``: where each of a row's words stands in its own sequence, by a full-text index of it.
+
+    Letters other than A, C, G and T count as A; null sequences and words have no rows.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (text, asked) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                asked = [w for w in asked or [] if w]
+                if text is None or not asked:
+                    continue
+                index = fmindex.FMIndex(text)
+                low, high = index.ranges([fmindex.encode(w) for w in asked])
+                places = [np.sort(index.offsets(int(x), int(y))) for x, y in zip(low, high)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(asked), pa.int64())), pa.array(asked, pa.string()), pa.array(places, pa.list_(pa.int64()))], ["rec_key", "word", "places"])
+
+    return df.select(key, seq, words).mapInArrow(run, f"rec_key {kind}, word string, places array<long>")
+
+
 def haplotype_likelihoods(reads: DataFrame, haplotypes: DataFrame, region: str = "region", strict_reference: bool = False) -> DataFrame:
     """``region, read, haplotype, lik``: capped log10 likelihoods of every read of a region given its haplotypes.
 

@@ -64,6 +64,29 @@ def format_bam(spark, d):
     return spark.read.format("bam").option("path", where).load().withColumn("tags", F.array_join("optionals", " ")).drop("optionals", "qual")
 
 
+_REGION = "cigar <> '*' and pos > 0 and flag & 4 = 0"
+
+
+@REG.add(
+    "format_bam_region",
+    f"""with t as (select * from sam_alignments where {_SAM} and pos < 2147483647 and pnext < 2147483647 and flag < 65536 and mapq < 256 and regexp_full_match(rname, '[*]|[!-)+-<>-~][!-~]*')),
+    r as (select rname, min(pos) as low, max(pos) as high from t where {_REGION} group by rname order by count(*) desc, rname limit 1),
+    s as (select t.*, t.pos - 1 as b, t.pos - 1 + coalesce(list_sum(list_transform(regexp_extract_all(cigar, '[0-9]+[MDN=X]'), lambda x: x[:-2]::bigint)), 0) as e, low, low + (high - low) // 2 as middle from t join r using (rname))
+    select qname, flag, rname, pos, cigar, upper(seq) as seq, case when seq <> '*' and length(qual) = length(seq) then qual else '*' end as qual from s where {_REGION} and b < middle and e > low - 1""",
+)
+def format_bam_region(spark, d):
+    """The lower half of the places of the chromosome with the most alignments, with qualities."""
+    t = table(spark, d, "sam_alignments").filter(_SAM).filter("pos < 2147483647 and pnext < 2147483647 and flag < 65536 and mapq < 256").filter(F.col("rname").rlike(r"\A([*]|[!-)+-<>-~][!-~]*)\z"))
+    where = _place(spark, "bam").removeprefix("file://")
+    names = [r[0] for r in t.select(F.explode(F.array("rname", "rnext")).alias("n")).filter("n not in ('*', '=')").distinct().orderBy("n").collect()]
+    qual = F.when((F.col("seq") != "*") & (F.length("qual") == F.length("seq")), F.col("qual")).otherwise("*")
+    sinks.write_bam(t.withColumn("qual", qual), where, [(n, 2147483646) for n in names])
+    most = t.filter(_REGION).groupBy("rname").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high")).orderBy(F.desc("n"), "rname").first()
+    streams.register(spark)
+    region = spark.read.format("bam").options(path=where, rname=most.rname, begin=most.low - 1, end=most.low + (most.high - most.low) // 2).load()
+    return region.filter(_REGION).select("qname", "flag", "rname", "pos", "cigar", "seq", "qual")
+
+
 _VCF = "chrom is not null and pos is not null and id is not null and ref is not null and alt is not null and qual is not null and filters is not null and info is not null and format_keys is not null"
 
 

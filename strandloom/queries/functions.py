@@ -218,6 +218,15 @@ def quality_probabilities(spark, d):
     return t.select("read_id", total(lambda c: ql.phred(c)).cast("long").alias("phred"), F.round(total(lambda c: ql.error_probability(c)), 6).alias("p"), F.round(total(lambda c: ql.error_probability(c, True)), 6).alias("p_raw"), F.round(total(lambda c: ql.log10_correct_probability(c)), 6).alias("log_right"))
 
 
+@REG.add("quality_second", "select read_id, list_sort(list_transform(string_split(qual, ''), lambda c: ascii(c)))[2] - 33 as second from fastq_reads where qual <> ''")
+def quality_second(spark, d):
+    """The second smallest quality of each read."""
+    from strandloom.operators.order import second_smallest
+
+    letters = F.filter(F.split("qual", ""), lambda c: c != "")
+    return table(spark, d, "fastq_reads").filter("qual <> ''").select("read_id", second_smallest(F.transform(letters, lambda c: ql.phred(c))).alias("second"))
+
+
 @REG.add("quality_mean", "select read_id, round(list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) / length(qual)::double, 6) as mean_quality from fastq_reads where qual <> ''")
 def quality_mean(spark, d):
     return table(spark, d, "fastq_reads").filter("qual <> ''").select("read_id", F.round(ql.mean_quality(F.col("qual")), 6).alias("mean_quality"))

@@ -21,6 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,10 +180,24 @@ def _words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed[place], record, count
 
 
+#: Letters of a slice of a batch: bounds the memory of its words, however long the texts are.
+LETTERS = 4_000_000
+
+
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``rows`` rows and ``LETTERS`` letters at most; a longer text is a slice of its own."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        size = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+                size += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(size)
+        at = 0
+        while at < b.num_rows:
+            fits = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LETTERS, side="right"))
+            end = max(at + 1, min(at + rows, fits))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def _counted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -68,3 +68,14 @@ def test_similarities():
     got = neardup.similarities(pa.array(texts), pa.array(other))
     assert np.allclose(got, [similarity(a, b) for a, b in zip(texts, other)])
     assert len(neardup.similarities(pa.array([], pa.string()), pa.array([], pa.string()))) == 0
+
+
+def test_slices_are_bounded_by_letters(monkeypatch):
+    monkeypatch.setattr(neardup, "LETTERS", 100)
+    sizes = [10, 60, 40, 300, 5, None, 99, 1, 1] + [0] * 30
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([None if n is None else "A" * n for n in sizes])], ["i", "t"])
+    parts = list(neardup._slices(iter([batch, batch.slice(0, 0), batch.slice(3, 2)]), 8))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == [*range(len(sizes)), 3, 4]
+    for p in parts:
+        total = sum(len(t or "") for t in p.column(1).to_pylist())
+        assert p.num_rows <= 8 and (total <= 100 or p.num_rows == 1)

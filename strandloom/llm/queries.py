@@ -131,8 +131,8 @@ def _sentence_model(docs: DataFrame) -> sentences.Model:
 
 @REG.add("p9_found")
 def p9_found(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return sentences.sentence_ends(docs, "doc_id", "text", "line_boxes", _sentence_model(docs))
+    pages = sentences.read_pages(table(spark, d, "documents"), "doc_id", "text", "line_boxes")
+    return sentences.page_ends(pages, sentences.fit_pages(pages))
 
 
 @REG.add("p9_sentences")

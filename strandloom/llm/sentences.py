@@ -7,7 +7,7 @@ scores are log-linear in the characters and words around a candidate, the transi
 on the previous tag and the distance to it. The end of a stream is always a boundary. Nothing but
 the model decides: without weights no other candidate is a boundary.
 
-The model is fitted here, on a bounded sample of pages, from what their own orthography shows:
+The model is fitted here, on all pages of the table, from what their own orthography shows:
 
 * a mark before a small letter or a comma, within a number or within an open quotation ends nothing;
   a question mark, an exclamation mark or a script's own full stop outside of quotations does;
@@ -18,8 +18,12 @@ The model is fitted here, on a bounded sample of pages, from what their own orth
 * other full stops have no tag to learn from; the fitted model settles them.
 
 Fixed lists of abbreviations and of words of speech are features among others. For scripts without
-punctuation the same tags are learned from the sample's texts with their punctuation taken out: each
+punctuation the same tags are learned from the other texts with their punctuation taken out: each
 mark becomes a blank that is known by its neighbours only.
+
+Pages are read once: each task writes the candidates of its pages and the counts of their words and
+candidates. The lexicon is made of the summed counts, the model fitted on the counts of the candidates'
+features and tags, and the written candidates are decoded.
 """
 
 from __future__ import annotations
@@ -28,16 +32,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm import layout
+from strandloom.storage import materialise
 
-#: Pages the model is fitted on, at most.
-SAMPLE_PAGES = 600
+#: Distinct tokens and candidates that a task counts before it passes the counts on, and candidates whose scores it keeps.
+COUNTED = 300_000
 
 # Common abbreviations after which a sentence goes on.
 GOES_ON = frozenset(
@@ -55,6 +61,7 @@ _BROKEN = re.compile(f"[{SIGNS}]\n")
 _MARK = re.compile(r"([.!?…。！？।]+)((?:\s?»|[”\"’'\)\]」』›“])*)")
 _BLANK = re.compile(r"[  　]+")
 _OPEN = "“«‘„「『"
+_CLOSING = frozenset('”»“」』"')
 _THAI = re.compile("[฀-๿]")
 _NORMAL = re.compile(r"\S")
 _WORD = re.compile(r"(?<![\w'’])[^\W\d_]+(?![\w])")
@@ -86,13 +93,16 @@ def _quote_depths(x: str, marks: list[int]) -> list[bool]:
 
 def _last_word(x: str, i: int) -> str:
     """The word that ends at i, put together if broken."""
-    y = _BROKEN.sub("", x[max(0, i - 40) : i]).rstrip("\u00a0 ").split()
+    y = x[max(0, i - 40) : i]
+    y = (_BROKEN.sub("", y) if "\n" in y else y).rstrip("\u00a0 ").split()
     return y[-1].lstrip(_LEAD) if y else ""
 
 
 def _first_word(x: str, i: int) -> str:
     """The word that begins behind i."""
-    y = _BROKEN.sub("", x[i : i + 60])
+    y = x[i : i + 60]
+    if "\n" in y:
+        y = _BROKEN.sub("", y)
     m = _NEXT_WORD.search(y)
     if m is None:
         return ""
@@ -122,25 +132,60 @@ def _next(c: str) -> str:
 class Candidate:
     """``at`` is the last character of the sentence that would end here; ``kind`` names the mark, ``after`` what follows.
 
-    ``word`` is the word before a full stop, ``following`` the next one; ``settled`` is the tag that the
+    ``word`` is the word before a full stop, ``following`` the next one or the number that follows at once; ``settled`` is the tag that the
     orthography shows, None where it doesn't. ``digit`` tells of a digit beside it, and ``bare`` that it is
-    a mark alone, which a script without punctuation would write as a blank.
+    a mark alone, which a script without punctuation would write as a blank. ``code`` stands for the context.
     """
 
     at: int
     kind: str
     after: str
-    context: tuple[str, ...]
+    code: str
     settled: bool | None
     word: str = ""
     following: str = ""
     digit: bool = False
     bare: bool = False
 
+    @property
+    def context(self) -> tuple[str, ...]:
+        return _context(self.code)
+
+    @property
+    def _numbered(self) -> bool:
+        return self.kind == "stop" and self.after == "digit" and self.settled is None
+
+    def described(self, unspaced: bool) -> str:
+        """All that the lexicon and the model see of it, in one line; words have no white space."""
+        return f"{self.code}\t{_TAGS[self.settled]}{self.digit:d}{self.bare:d}{unspaced:d}\t{self.word}\t{self.following if self.after == 'upper' or self._numbered else ''}"
+
+
+_TAGS = {True: "T", False: "F", None: "-"}
+_TAG_OF = {t: s for s, t in _TAGS.items()}
+
+
+@cache
+def _context(code: str) -> tuple[str, ...]:
+    if not code:
+        return ()
+    kind, nxt, gap, outer, open_, within, speech, ellipsis, before = code.split(",")
+    flag = "1".__eq__
+    return (
+        f"k={kind},n={nxt},g={flag(gap)}", f"c={outer},n={nxt}", f"o={flag(open_)}", f"w={flag(within)}", f"s={flag(speech)}", f"e={flag(ellipsis)}",
+        f"p={before},k={kind},n={nxt}",
+    )
+
+
+def restored(line: str) -> tuple[Candidate, bool]:
+    """The candidate that was described, its place unknown, and whether its stream is unspaced."""
+    code, flags, word, following = line.split("\t")
+    kind, after = code.split(",", 2)[:2] if code else ("blank", "letter")
+    return Candidate(-1, kind, after, code, _TAG_OF[flags[0]], word, following, flags[1] == "1", flags[2] == "1"), flags[3] == "1"
+
 
 @dataclass
 class Lexicon:
-    """What the sample shows of the words before full stops, and the words that begin sentences: mainly those written small elsewhere."""
+    """What the pages show of the words before full stops, and the words that begin sentences: mainly those written small elsewhere."""
 
     of_word: dict[str, str] = field(default_factory=dict)
     small: frozenset[str] = frozenset()
@@ -158,21 +203,25 @@ class Lexicon:
 
 def candidates(x: str) -> list[Candidate]:
     """The places of a stream's text (lines joined by line feeds) that may end a sentence."""
-    if len(_THAI.findall(x)) * 3 > len(x):
+    if not x.isascii() and len(_THAI.findall(x)) * 3 > len(x):
         return _blank_candidates(x)
     found = list(_MARK.finditer(x))
     inside = _quote_depths(x, [m.start() for m in found])
     out = []
     for m, quoted in zip(found, inside):
-        mark, close, end = m[1], m[2], m.end()
-        kind = "cjk" if mark[-1] in "。！？" else "danda" if mark[-1] == "।" else "dots" if "…" in mark or mark.startswith("..") else "stop" if mark[-1] == "." else "strong"
+        (mark, close), (start, end) = m.groups(), m.span()
+        kind = "stop" if mark == "." else "cjk" if mark[-1] in "。！？" else "danda" if mark[-1] == "।" else "dots" if "…" in mark or mark.startswith("..") else "stop" if mark[-1] == "." else "strong"
         if kind == "cjk" and "“" in close:  # opens there, while it closes behind a Latin terminator
             close = close[: close.index("“")]
-            end = m.start() + len(mark) + len(close)
-        outer = "outer" if _closes(close) else "inner" if close else "none"
-        after = _NORMAL.search(x, end)
-        c = after[0] if after else ""
-        gap = after is None or after.start() > end
+            end = start + len(mark) + len(close)
+        outer = "none" if not close else "outer" if _closes(close) else "inner"
+        c = x[end : end + 1]
+        gap = not c or c.isspace()
+        if gap:
+            c = x[end + 1 : end + 2]
+            if not c or c.isspace():
+                after = _NORMAL.search(x, end)
+                c = after[0] if after else ""
         nxt = _next(c)
         wide = nxt == "letter" or kind == "cjk" or (mark[0] == "…" and not gap)
         ellipsis = kind == "dots" and wide and len(mark) >= 2 and "…" in mark
@@ -186,19 +235,17 @@ def candidates(x: str) -> list[Candidate]:
         else:
             settled = True if kind != "stop" else None
         speech = outer == "outer" and (c == "と" or (nxt == "letter" and _speech_follows(x, end)))
-        before = x[m.start() - 1] if m.start() else ""
-        context = (
-            f"k={kind},n={nxt},g={gap}", f"c={outer},n={nxt}", f"o={open_}", f"w={within}", f"s={speech}", f"e={ellipsis}",
-            f"p={'digit' if before.isdigit() else 'upper' if before.isupper() else 'letter' if before.isalpha() else 'other'},k={kind},n={nxt}",
-        )
+        before = x[start - 1] if start else ""
+        beside = "digit" if before.isdigit() else "upper" if before.isupper() else "letter" if before.isalpha() else "other"
+        code = f"{kind},{nxt},{gap:d},{outer},{open_:d},{within:d},{speech:d},{ellipsis:d},{beside}"
         stop = kind == "stop"
-        out.append(Candidate(end - 1, kind, nxt, context, settled, _last_word(x, m.start()) if stop else "", _first_word(x, end) if stop or kind == "strong" else "", before.isdigit() or c.isdigit(), outer == "none" and not open_ and not ellipsis))
+        out.append(Candidate(end - 1, kind, nxt, code, settled, _last_word(x, start) if stop else "", _DIGITS.search(x + "0", end)[0] if stop and nxt == "digit" else _first_word(x, end) if stop or kind == "strong" else "", before.isdigit() or c.isdigit(), outer == "none" and not open_ and not ellipsis))
     return out
 
 
 def _closes(close: str) -> bool:
     """Whether closing marks end an outer quotation."""
-    return any(c in '”»“」』"' for c in close)
+    return not _CLOSING.isdisjoint(close)
 
 
 def _speech_follows(x: str, end: int) -> bool:
@@ -218,7 +265,7 @@ def _blank_candidates(x: str) -> list[Candidate]:
         a, b = x[:i].rstrip()[-1:] if i and x[i - 1].isspace() else x[i - 1 : i], after[0] if after else ""
         if not a:
             continue
-        out.append(Candidate(i - 1, "blank", "letter", (), None, digit=a.isdigit() or b.isdigit()))
+        out.append(Candidate(i - 1, "blank", "letter", "", None, digit=a.isdigit() or b.isdigit()))
     return out
 
 
@@ -238,11 +285,16 @@ def features(c: Candidate, lexicon: Lexicon) -> tuple[str, ...]:
     size = min(len(c.word), 5)
     shape = f"{size}{'v' if _VOWEL.search(low) else '-'}{'C' if c.word[:1].isupper() else '-'}{'#' if any(x.isdigit() for x in c.word) else '-'}"
     nxt = c.after if c.after != "upper" else f"upper-{lexicon.following(c)}"
-    return (*c.context, f"t={known}", f"t={known},n={nxt}", f"l={listed}", f"l={listed},n={nxt}", f"z={shape}", f"z={shape},t={known}", f"n={nxt}")
+    return _stop(c.code, known, listed, shape, nxt)
+
+
+@cache
+def _stop(code: str, known: str, listed: str, shape: str, nxt: str) -> tuple[str, ...]:
+    return (*_context(code), f"t={known}", f"t={known},n={nxt}", f"l={listed}", f"l={listed},n={nxt}", f"z={shape}", f"z={shape},t={known}", f"n={nxt}")
 
 
 def learn_words(streams: list[tuple[str, list[Candidate]]], least: int = 3) -> Lexicon:
-    """The words of the sample: which are written small, and which go on over a full stop.
+    """The words of the streams: which are written small, and which go on over a full stop.
 
     A word of which the capital words behind it, compared with those behind other marks, or its use
     without a full stop don't tell enough isn't listed.
@@ -271,7 +323,7 @@ def learn_words(streams: list[tuple[str, list[Candidate]]], least: int = 3) -> L
 
 def _words_before(streams: list[tuple[str, list[Candidate]]], ordinary: frozenset[str], plain: Counter[str], least: int) -> dict[str, str]:
     inside: Counter[str] = Counter()
-    digits: Counter[str] = Counter()
+    numbers: dict[str, Counter[str]] = {}
     capitals: dict[str, Counter[str]] = {}
     strong = [0, 0]
     for _, cs in streams:
@@ -284,31 +336,44 @@ def _words_before(streams: list[tuple[str, list[Candidate]]], ordinary: frozense
                 elif c.after == "upper":
                     capitals.setdefault(t, Counter())[c.following] += 1
                 elif c.after == "digit":
-                    digits[t] += 1
+                    numbers.setdefault(t, Counter())[c.following] += 1
             elif c.kind == "strong" and c.settled and c.after == "upper":
                 strong[0 if common else 1] += 1
     base = (strong[0] + 1) / (strong[0] + strong[1] + 2)
     of_word = {}
-    for w in {*inside, *digits, *capitals}:
+    for w in {*inside, *numbers, *capitals}:
         after = capitals.get(w, Counter())
-        n = after.total()
+        digits = numbers.get(w, Counter())
+        varied = sum(k if i > 1 else 1 for i, (_, k) in enumerate(digits.most_common()))
         common = sum(k for f, k in after.items() if f.lower() in ordinary)
-        # the share of capital words that begin a sentence, if as many of those are ordinary as elsewhere
-        rate = min(1.0, common / (base * n)) if n >= least else None
-        usual = "#" not in w and plain[w] >= max(2, 0.3 * (inside[w] + digits[w] + n))
-        # one phrase that is repeated says nothing of the word, unless it is an abbreviation too
-        phrase = sum(sorted((k for f, k in after.items() if f[-1] != "."), reverse=True)[:2]) > 0.6 * n
-        if digits[w] >= 4 * max(n, least):
-            of_word[w] = "on"
-        elif rate is not None and (rate >= 0.4 or common >= least and rate >= 0.2 or usual):
-            of_word[w] = "ends" if inside[w] <= 0.1 * n else "may"
-        elif rate is not None and not phrase or inside[w] >= max(least, n) or digits[w] >= max(least, n) and not usual:
-            of_word[w] = "on"
+        top = sum(sorted((k for f, k in after.items() if f[-1:] != "."), reverse=True)[:2])
+        use = _use(w, inside[w], digits.total(), varied, after.total(), common, top, plain[w], base, least)
+        if use:
+            of_word[w] = use
     return of_word
 
 
+def _use(w: str, inside: int, digits: int, varied: int, n: int, common: int, top: int, plain: int, base: float, least: int) -> str | None:
+    """How a word of these counts is used: ``n`` capital words behind it, ``common`` ordinary ones, ``top`` the two most frequent;
+    ``digits`` numbers, ``varied`` if the two most frequent count once."""
+    # the share of capital words that begin a sentence, if as many of those are ordinary as elsewhere
+    rate = min(1.0, common / (base * n)) if n >= least else None
+    usual = "#" not in w and plain >= max(2, 0.3 * (inside + digits + n))
+    # one phrase that is repeated says nothing of the word, unless it is an abbreviation too
+    phrase = top > 0.6 * n
+    if usual:
+        digits = varied
+    if digits >= 4 * max(n, least):
+        return "on"
+    if rate is not None and (rate >= 0.4 or common >= least and rate >= 0.2 or usual):
+        return "ends" if inside <= 0.1 * n else "may"
+    if rate is not None and not phrase or inside >= max(least, n) or digits >= max(least, n) and not usual:
+        return "on"
+    return None
+
+
 def shown_tag(c: Candidate, lexicon: Lexicon) -> bool | None:
-    """The tag of a candidate of the sample as far as its orthography and its word's other uses show it."""
+    """The tag of a candidate as far as its orthography and its word's other uses show it."""
     if c.settled is not None or c.kind in ("blank", "dots") or c.after == "end":
         return c.settled
     known, following = lexicon.word(c.word), lexicon.following(c) if c.after == "upper" else ""
@@ -343,42 +408,77 @@ class Model:
         return self.score(self.features(c))
 
 
-def fit(streams: Iterator[str], steps: int = 400, rate: float = 0.5, decay: float = 1e-4) -> Model:
-    """Log-linear emissions by gradient ascent over the candidates whose tag is shown, transitions from their counts."""
-    read = [(x, candidates(x)) for x in streams]
-    model = Model(lexicon=learn_words(read))
-    index: dict[str, int] = {}
-    seen: dict[tuple[tuple[int, ...], bool], int] = {}
-    near, near_ends, ends, n = 0, 0, 0, 0
+NEAR = Model.near_length
 
-    def count(names: tuple[str, ...], tag: bool) -> None:
-        row = tuple(index.setdefault(f, len(index)) for f in names)
-        seen[row, tag] = seen.get((row, tag), 0) + 1
 
+def _unspaced(x: str) -> bool:
+    return len(_BLANK.findall(x)) * 12 < len(x)
+
+
+def _chains(cs: list[Candidate], lines: list[str]) -> list[str]:
+    """The line of each candidate and those of the ones that stand near before it, the nearest first."""
+    out = []
+    for i, c in enumerate(cs):
+        chain, j = lines[i], i - 1
+        while j >= 0 and c.at - cs[j].at <= NEAR:
+            chain += "\n" + lines[j]
+            j -= 1
+        out.append(chain)
+    return out
+
+
+@dataclass
+class Tally:
+    """Counts of the features of candidates with a shown tag, ``True`` or ``False``, and of boundaries near others."""
+
+    seen: Counter[tuple[tuple[str, ...], bool]] = field(default_factory=Counter)
+    near: int = 0
+    near_ends: int = 0
+    ends: int = 0
+    n: int = 0
+
+    def add(self, chain: str, times: int, lexicon: Lexicon) -> None:
+        line, *before = chain.split("\n")
+        c, unspaced = restored(line)
+        tag = shown_tag(c, lexicon)
+        if tag is None:
+            return
+        self.seen[features(c, lexicon), tag] += times
+        if c.bare:
+            self.seen[_blank(c, unspaced), tag] += times  # the same place with its punctuation taken out
+        self.n += times
+        self.ends += tag * times
+        # whether the last one that has a tag is a boundary
+        last = next((t for t in (shown_tag(restored(b)[0], lexicon) for b in before) if t is not None), False)
+        if last:
+            self.near += times
+            self.near_ends += tag * times
+
+
+def fit(streams: Iterator[str]) -> Model:
+    """The model of the streams' texts."""
+    read = [(x, candidates(x)) for x in streams]
+    lexicon, tally = learn_words(read), Tally()
     for x, cs in read:
-        last = None
-        unspaced = len(_BLANK.findall(x)) * 12 < len(x)
-        for c in cs:
-            tag = shown_tag(c, model.lexicon)
-            if tag is None:
-                continue
-            count(model.features(c), tag)
-            if c.bare:
-                count(_blank(c, unspaced), tag)  # the same place with its punctuation taken out
-            n += 1
-            if last is not None and c.at - last <= model.near_length:
-                near += 1
-                near_ends += tag
-            ends += tag
-            last = c.at if tag else None
+        unspaced = _unspaced(x)
+        for chain in _chains(cs, [c.described(unspaced) for c in cs]):
+            tally.add(chain, 1, lexicon)
+    return weighed(tally, lexicon)
+
+
+def weighed(tally: Tally, lexicon: Lexicon, steps: int = 400, rate: float = 0.5, decay: float = 1e-4) -> Model:
+    """Log-linear emissions by gradient ascent over the candidates whose tag is shown, transitions from their counts."""
+    model = Model(lexicon=lexicon)
+    seen = sorted(tally.seen.items())  # sums of floats are the same in any order of the pages
     if not seen:
         return model
-    total = sum(seen.values())
+    index: dict[str, int] = {}
+    rows = [[index.setdefault(f, len(index)) for f in names] for (names, _), _ in seen]
     X = np.zeros((len(seen), len(index)))
-    for i, (row, _) in enumerate(seen):
-        np.add.at(X[i], list(row), 1.0)
-    y = np.array([s for _, s in seen], float)
-    m = np.sqrt(np.array(list(seen.values()), float) / total)
+    for i, row in enumerate(rows):
+        np.add.at(X[i], row, 1.0)
+    y = np.array([tag for (_, tag), _ in seen], float)
+    m = np.sqrt(np.array([k for _, k in seen], float) / tally.seen.total())
     m /= m.sum()
     w, b = np.zeros(len(index)), 0.0
     for _ in range(steps):
@@ -388,7 +488,7 @@ def fit(streams: Iterator[str], steps: int = 400, rate: float = 0.5, decay: floa
         b += rate * 10 * g.sum()
     model.weights = {f: round(float(w[i]), 6) for f, i in index.items()}
     model.bias = float(b)
-    model.near = float(np.log((near_ends + 0.5) / (near + 1.0)) - np.log((ends + 0.5) / (n + 1.0)))
+    model.near = float(np.log((tally.near_ends + 0.5) / (tally.near + 1.0)) - np.log((tally.ends + 0.5) / (tally.n + 1.0)))
     model.near = min(model.near, 0.0)
     return model
 
@@ -433,12 +533,24 @@ def _texts(s: layout.Streams) -> list[str]:
     return ["\n".join(s.lines[a:b]) for a, b in zip(s.first.tolist(), last)]
 
 
-def ends_of(s: layout.Streams, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(document, code point) of the last character of every sentence of a batch."""
-    texts = _texts(s)
-    score_of: dict[tuple[str, ...], float] = {}
-    score, at, sequence, final, final_of = [], [], [], [], []
-    for n, x in enumerate(texts):
+@dataclass
+class Places:
+    """Candidates of a batch in reading order, and the ends of its streams; places are code points of documents.
+
+    ``step`` is the distance to the candidate before, 0 for the first of a stream.
+    """
+
+    seen: list[str]
+    doc: np.ndarray
+    place: np.ndarray
+    step: np.ndarray
+    end_doc: np.ndarray
+    end: np.ndarray
+
+
+def places(s: layout.Streams, counts: Counts | None = None) -> Places:
+    seen, at, step, stream, final, final_of = [], [], [], [], [], []
+    for n, x in enumerate(_texts(s)):
         stripped = len(x.rstrip())
         if not stripped:
             continue
@@ -446,42 +558,235 @@ def ends_of(s: layout.Streams, model: Model) -> tuple[np.ndarray, np.ndarray]:
         final_of.append(n)
         if s.kind[n] == layout.HEADLINE:
             continue
-        for c in candidates(x):
-            if c.at >= stripped - 1:
-                continue
-            names = model.features(c)
-            e = score_of.get(names)
-            if e is None:
-                e = score_of[names] = model.score(names)
-            score.append(e)
-            at.append(c.at)
-            sequence.append(n)
-    at_, seq_ = np.array(at, np.int64), np.array(sequence, np.int64)
-    keep = viterbi(np.array(score, float), at_, seq_, model)
-    place, of = np.r_[at_[keep], np.array(final, np.int64)], np.r_[seq_[keep], np.array(final_of, np.int64)].astype(np.int64)
+        cs = candidates(x)
+        while cs and cs[-1].at >= stripped - 1:  # nothing follows: the end itself, which has no tag to learn from
+            cs.pop()
+        unspaced = _unspaced(x)
+        lines = [c.described(unspaced) for c in cs]
+        if counts is not None:
+            counts.add(x, cs, lines)
+        seen += lines
+        here = [c.at for c in cs]
+        at += here
+        step += [0, *(b - a for a, b in zip(here, here[1:]))][: len(here)]
+        stream += [n] * len(cs)
+    place, of = np.array(at + final, np.int64), np.array(stream + final_of, np.int64)
     # from places in joined streams to places in documents
     length = np.fromiter(map(len, s.lines), np.int64, len(s.lines)) + 1
     begin = np.cumsum(length) - length
-    if not len(place):
-        return place, place
-    whole = begin[s.first[of]] + place
-    line = np.searchsorted(begin, whole, side="right") - 1
-    return s.doc[of], s.offset[line] + whole - begin[line]
+    if len(place):
+        whole = begin[s.first[of]] + place
+        line = np.searchsorted(begin, whole, side="right") - 1
+        place, of = s.offset[line] + whole - begin[line], s.doc[of]
+    k = len(seen)
+    return Places(seen, of[:k], place[:k], np.array(step, np.int64), of[k:], place[k:])
+
+
+def boundaries(seen: list[str], step: np.ndarray, model: Model, scores: dict[str, float]) -> np.ndarray:
+    """Which of the candidates are boundaries; ``scores`` keeps what was computed before."""
+    if len(scores) > COUNTED:
+        scores.clear()
+    score = np.empty(len(seen))
+    for i, line in enumerate(seen):
+        e = scores.get(line)
+        if e is None:
+            e = scores[line] = model.emission(restored(line)[0])
+        score[i] = e
+    return viterbi(score, np.cumsum(step), np.cumsum(step == 0), model)
+
+
+def ends_of(s: layout.Streams, model: Model, scores: dict[str, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, code point) of the last character of every sentence of a batch."""
+    p = places(s)
+    keep = boundaries(p.seen, p.step, model, {} if scores is None else scores)
+    return np.r_[p.doc[keep], p.end_doc], np.r_[p.place[keep], p.end]
+
+
+class Counts:
+    """Counts of the tokens and candidates of streams, as rows ``role, word, following, low, chain, n``.
+
+    Roles of words: ``small``, ``large``, and ``plain`` for those without a full stop. Roles of candidates:
+    ``inside``, ``digit`` and ``capital`` for full stops that tell of the word before them, ``strong`` for
+    question and exclamation marks before a capital word, and ``other``. ``word`` is that before a full stop.
+    """
+
+    def __init__(self) -> None:
+        self.tokens: Counter[str] = Counter()
+        self.chains: Counter[str] = Counter()
+
+    def __len__(self) -> int:
+        return max(len(self.tokens), len(self.chains))
+
+    def add(self, x: str, cs: list[Candidate], lines: list[str]) -> None:
+        self.tokens.update(_BROKEN.sub("", x).split())
+        if cs and cs[0].kind != "blank":
+            self.chains.update(_chains(cs, lines))
+
+    def rows(self) -> list[list]:
+        words: Counter[tuple[str, str]] = Counter()
+        for t, n in self.tokens.items():
+            for w in _WORD.findall(t):
+                # of large ones only those that begin with a capital are looked up
+                if w.islower():
+                    words["small", w] += n
+                elif w[0].isupper():
+                    words["large", w] += n
+            w = t.lstrip(_LEAD).rstrip(_TAIL)
+            if w and w[-1] != ".":
+                words["plain", _type(w)] += n
+        # longer ones can't stand beside a mark, see _last_word and _first_word; of types with numbers _use needs no plain ones
+        out = [[role, w, None, None, None, n] for (role, w), n in words.items() if len(w) <= 80 and "#" not in w]
+        for chain, n in self.chains.items():
+            c, _ = restored(chain.split("\n", 1)[0])
+            role = _role(c)
+            out.append([role, _type(c.word) if c.kind == "stop" else None, c.following, c.following.lower(), chain, n])
+        self.tokens.clear()
+        self.chains.clear()
+        return out
+
+
+def _role(c: Candidate) -> str:
+    if c.kind == "stop":
+        if c.settled is False:
+            return "other" if "o=True" in c.context else "inside"  # an open quotation says nothing of the word
+        return {"upper": "capital", "digit": "digit"}.get(c.after, "other")
+    return "strong" if c.kind == "strong" and c.settled and c.after == "upper" else "other"
+
+
+def read_pages(df: DataFrame, key: str, text: str, boxes: str) -> DataFrame:
+    """All pages read, once: rows of ``doc_id, ends, place, step, seen`` with a page's places, and rows of counts."""
+    kind = df.schema[key].dataType.simpleString()
+    of_page = f"doc_id {kind}, ends array<long>, place array<long>, step array<long>, seen string"
+    of_counts = "role string, word string, following string, low string, chain string, n long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, like = Counts(), None
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            rows = counts.rows()
+            for i in range(0, len(rows), 50_000):
+                columns = list(zip(*rows[i : i + 50_000]))
+                n = len(columns[0])
+                none = [pa.nulls(n, t) for t in (like, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())]
+                yield pa.RecordBatch.from_arrays([*none, *(pa.array(c, pa.string()) for c in columns[:5]), pa.array(columns[5], pa.int64())], names)
+
+        names = ["doc_id", "ends", "place", "step", "seen", "role", "word", "following", "low", "chain", "n"]
+        for b in batches:
+            like = b.column(0).type
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                p = places(_streams(part, 1), counts)
+                docs = np.arange(part.num_rows + 1)
+                at, end_at = np.searchsorted(p.doc, docs), np.searchsorted(p.end_doc, docs)
+                lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v)) for o, v in ((end_at, p.end), (at, p.place), (at, p.step))]
+                seen = ["\n".join(p.seen[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                none = [pa.nulls(part.num_rows, pa.string())] * 5
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists, pa.array(seen, pa.string()), *none, pa.nulls(part.num_rows, pa.int64())], names)
+                if len(counts) > COUNTED:
+                    yield from counted()
+        yield from counted()
+
+    chosen = df.select(F.col(key), F.col(text).alias("t_"), *_boxes(df, boxes))
+    return materialise(chosen.mapInArrow(run, f"{of_page}, {of_counts}"), "pages")
+
+
+def learned(pages: DataFrame, least: int = 3) -> Lexicon:
+    """``learn_words`` of all pages, from their counts. Only words that stand beside marks come to the driver."""
+    useful = pages.filter("role in ('small', 'large', 'plain', 'inside', 'digit', 'capital', 'strong') or role = 'other' and word is not null and following <> ''")
+    summed = materialise(useful.groupBy("role", "word", "following", "low").agg(F.sum("n").alias("n")), "counts")
+    behind = summed.filter("following <> '' and role <> 'digit'")  # capital words behind marks
+    beside = behind.select("low").distinct()
+    ordinary = summed.filter("role = 'small' and n >= 2").select(F.col("word").alias("low")).join(beside, "low", "left_semi")
+    ordinary = materialise(ordinary, "ordinary")
+    large = summed.filter("role = 'large'").select(F.col("word").alias("following"), F.col("n").alias("anywhere"))
+
+    of_word = _words_of_counts(summed, ordinary, least)
+    ends = pages.sparkSession.createDataFrame(pa.table({"word": pa.array([w for w, use in of_word.items() if use == "ends"], pa.string())}))
+    first = behind.join(ends, "word", "left_semi").unionByName(behind.filter("role = 'strong'"))
+    first = first.groupBy("following", "low").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    begin = first.join(large, "following", "left").filter(F.col("n") >= 0.5 * F.coalesce("anywhere", F.lit(0))).select("low").distinct()
+    begin = materialise(begin.join(ordinary, "low", "left_anti"), "begin")
+    if not begin.isEmpty():
+        ordinary = ordinary.unionByName(begin)
+        of_word = _words_of_counts(summed, ordinary, least)
+    small = beside.join(ordinary, "low", "left_semi").toArrow()
+    dates = behind.filter("word = '#'").groupBy("following", "low").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    dates = dates.join(ordinary, "low", "left_anti").select("following").toArrow()
+    return Lexicon(of_word, frozenset(small.column(0).to_pylist()), frozenset(dates.column(0).to_pylist()))
+
+
+def _words_of_counts(summed: DataFrame, ordinary: DataFrame, least: int) -> dict[str, str]:
+    """``_words_before`` of summed counts."""
+    known = ordinary.withColumn("common", F.lit(True))
+    n = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    strong = summed.filter("role = 'strong'").join(known, "low", "left").agg(n(F.col("common")), n(F.col("common").isNull())).first()
+    base = ((strong[0] or 0) + 1) / ((strong[0] or 0) + (strong[1] or 0) + 2)
+    whole = ~F.col("following").endswith(".")
+    order = Window.partitionBy("role", "word").orderBy(whole.desc(), F.col("n").desc())
+    capital = summed.filter("role in ('capital', 'digit')").join(known, "low", "left").withColumn("top", whole & (F.row_number().over(order) <= 2))
+    rest = summed.filter("role in ('inside', 'plain')")
+    by_word = capital.unionByName(rest, allowMissingColumns=True).groupBy("word").agg(
+        n(F.col("role") == "inside").alias("inside"), n(F.col("role") == "digit").alias("digits"),
+        F.sum(F.when(F.col("role") == "digit", F.when(F.col("top"), 1).otherwise(F.col("n"))).otherwise(0)).alias("varied"), n(F.col("role") == "capital").alias("n"),
+        n(F.col("common")).alias("common"), n(F.col("top") & (F.col("role") == "capital")).alias("top"), n(F.col("role") == "plain").alias("plain"),
+    )
+    told = by_word.filter(F.greatest("inside", "digits", "n") >= least).toArrow()
+    uses = ((w, _use(w, *counts, base, least)) for w, *counts in zip(*(c.to_pylist() for c in told.columns)))
+    return {w: use for w, use in uses if use}
+
+
+def fit_pages(pages: DataFrame) -> Model:
+    """The model of all pages of ``read_pages``: as many rows come to the driver as there are kinds of candidates."""
+    lexicon = learned(pages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for b in batches:
+            for chain, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                tally.add(chain, n, lexicon)
+        rows = [("\n".join(names), tag, n) for (names, tag), n in tally.seen.items()]
+        rows += [(name, None, getattr(tally, name)) for name in ("near", "near_ends", "ends", "n")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int64()))], ["names", "tag", "n"])
+
+    chains = pages.filter(F.col("chain").isNotNull()).select("chain", "n")
+    found = chains.mapInArrow(run, "names string, tag boolean, n long").groupBy("names", "tag").agg(F.sum("n").alias("n")).toArrow()
+    tally = Tally()
+    for names, tag, n in zip(*(c.to_pylist() for c in found.columns)):
+        if tag is None:
+            setattr(tally, names, n)
+        else:
+            tally.seen[tuple(names.split("\n")), tag] = n
+    return weighed(tally, lexicon)
+
+
+def page_ends(pages: DataFrame, model: Model) -> DataFrame:
+    """``sentence_ends`` of the pages of ``read_pages``."""
+    kind = pages.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores: dict[str, float] = {}
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                seen = [line for x in part.column(4).to_pylist() if x for line in x.split("\n")]
+                ends, place, step = (c.flatten().to_numpy() for c in part.columns[1:4])
+                docs = np.arange(part.num_rows)
+                end_doc, doc = (np.repeat(docs, c.value_lengths().to_numpy()) for c in part.columns[1:3])
+                keep = boundaries(seen, step, model, scores)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.r_[doc[keep], end_doc])), pa.array(np.r_[place[keep], ends])], ["doc_id", "end_at"])
+
+    return pages.filter("role is null").select("doc_id", "ends", "place", "step", "seen").mapInArrow(run, f"doc_id {kind}, end_at long")
 
 
 def _boxes(df: DataFrame, boxes: str) -> list:
     return [F.col(f"{boxes}.{c}").alias(f"{c}_") for c in ("x0", "y0", "x1", "y1")]
 
 
-def fit_on(df: DataFrame, key: str, text: str, boxes: str, pages: int = SAMPLE_PAGES) -> Model:
-    """The model of a table: fitted on the ``pages`` pages whose key has the smallest hash, the same at every run."""
-    chosen = df.filter(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h_"), F.col(text).alias("t_"), *_boxes(df, boxes)).orderBy("h_", "t_").limit(pages)
-    t = chosen.toArrow().combine_chunks()
-    texts = []
-    for b in t.to_batches():
-        s = _streams(b, 1)
-        texts += [(k, x) for k, x in zip(s.kind, _texts(s)) if k != layout.HEADLINE]
-    return fit(x for _, x in texts)
+def fit_on(df: DataFrame, key: str, text: str, boxes: str, pages: int | None = None) -> Model:
+    """The model of a table: fitted on all its pages, or on the ``pages`` whose key has the smallest hash if a caller asks for that."""
+    if pages is not None:
+        df = df.filter(F.col(text).isNotNull()).orderBy(F.xxhash64(key), text).limit(pages)
+    return fit_pages(read_pages(df, key, text, boxes))
 
 
 def sentence_ends(df: DataFrame, key: str, text: str, boxes: str, model: Model) -> DataFrame:
@@ -493,10 +798,11 @@ def sentence_ends(df: DataFrame, key: str, text: str, boxes: str, model: Model)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores: dict[str, float] = {}
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                doc, at = ends_of(_streams(part, 1), model)
+                doc, at = ends_of(_streams(part, 1), model, scores)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(at)], ["doc_id", "end_at"])
 
     chosen = df.select(F.col(key), F.col(text).alias("t_"), *_boxes(df, boxes))
@@ -508,11 +814,12 @@ def sentences(df: DataFrame, key: str, text: str, boxes: str, model: Model) -> D
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores: dict[str, float] = {}
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 s = _streams(part, 1)
-                doc, at = ends_of(s, model)
+                doc, at = ends_of(s, model, scores)
                 stops = np.sort(doc * (1 << 40) + at)
                 last = [*s.first[1:].tolist(), len(s.lines)]
                 docs, numbers, places, texts, count = [], [], [], [], {}

@@ -170,3 +170,26 @@ def test_blanks_are_learned_from_text_without_punctuation():
     x = "สมพรขายผ้า ราคา 25 บาท นายกไปตลาด"
     got = [c.at for c in sentences.candidates(x) if model.emission(c) > 0]
     assert got == [i - 1 for i, c in enumerate(x) if c == " " and not (x[i - 1].isdigit() or x[i + 1].isdigit())]
+
+
+def test_fitted_on_all_pages(spark):
+    """A word that only a few of many pages show is learned, and the model is that of all streams together."""
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice(["bel", "dor", "kim", "ru", "stan", "ley"]) for _ in range(3)).title()
+    nouns = ["wool", "quay", "mill", "coal", "barn"]
+    texts = []
+    for i in range(1500):
+        kinds = [f"The {rng.choice(nouns)} was sold by {'Qvx' if i % 150 == 7 else 'Brg'}. {name()} near the {rng.choice(nouns)}.", f"Has {name()} kept the {rng.choice(nouns)}?!", f"On {rng.randint(1, 28)}. Oktober the {rng.choice(nouns)} “burned!” at 4.{i % 60} Uhr... and no. {i} too."]
+        texts.append(" ".join(rng.sample(kinds, 3)))
+    texts += ["".join(t) for t in TEXTS[4:]] + ["The barn of Yarrop burned. The wool is sold at Yarrop. 64 casks of coal are lost."] * 40
+    df = rows_of(spark, [(t, None) for t in texts]).repartition(3)
+    model = sentences.fit_on(df, "doc_id", "text", "line_boxes")
+    # a copied phrase doesn't make an abbreviation of its word, as many numbers do
+    assert model.lexicon.of_word["qvx"] == "on" and model.lexicon.of_word["no"] == "on" and "yarrop" not in model.lexicon.of_word
+    one = sentences.fit(iter(texts))
+    assert model.lexicon.of_word == one.lexicon.of_word and model.lexicon.dates == one.lexicon.dates and model.lexicon.small <= one.lexicon.small
+    assert (model.weights, model.bias, model.near) == (one.weights, one.bias, one.near)
+    # the written candidates are decoded as those of the texts
+    pages = sentences.read_pages(df, "doc_id", "text", "line_boxes")
+    got = sorted(map(tuple, sentences.page_ends(pages, model).collect()))
+    assert got == sorted(map(tuple, sentences.sentence_ends(df, "doc_id", "text", "line_boxes", model).collect()))

@@ -118,18 +118,19 @@ def _usual_ranks(registers: int, block: int = 0) -> tuple[np.ndarray, np.ndarray
     return np.ascontiguousarray(perm), r
 
 
-def signatures(words: np.ndarray, record: np.ndarray, n_records: int, registers: int, step: int = 24, block: int = 0) -> np.ndarray:
+def signatures(words: np.ndarray, record: np.ndarray, n_records: int, registers: int, step: int = 24, block: int = 0, coded: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """SuperMinHash registers of each record from its words (``record`` ascending); each value holds j and r.
 
-    Signatures of different ``block`` are independent of each other.
+    Signatures of different ``block`` are independent of each other. ``coded`` is the words' ``small_code`` if it is known.
     """
     empty = np.uint32(0xFFFFFFFF)
     sig = np.full(n_records * registers, empty, np.uint32)
     record = record.astype(np.int64)
-    code, usual = small_code(words)
+    code, usual = coded or small_code(words)
     perm, r = _usual_ranks(registers, block)
     if not usual.all():
         known, other = np.unique(words[~usual], return_inverse=True)
+        code = code.copy()
         code[~usual] = other + len(r)
         more = ranks(_seeded(known, block), registers, min(DEPTH, registers))
         perm, r = np.concatenate([perm, more[0]]), np.concatenate([r, more[1]])
@@ -140,13 +141,17 @@ def signatures(words: np.ndarray, record: np.ndarray, n_records: int, registers:
             known, code = np.unique(words, return_inverse=True)
             perm, r = ranks(_seeded(known, block), registers, depth)
         for j in range(at, depth):
-            place = record * registers + perm[code, j]
-            np.minimum.at(sig, place, r[code, j] | np.uint32(j << 24))
+            place = record * registers + np.ascontiguousarray(perm[:, j])[code]
+            # a register written at an earlier place holds less
+            free = np.flatnonzero(sig[place] == empty) if j else slice(None)
+            np.minimum.at(sig, place[free], np.ascontiguousarray(r[:, j])[code[free]] | np.uint32(j << 24))
             open_ = (sig.reshape(n_records, registers) == empty).any(axis=1)
-            live = open_[record]
-            if not live.all():
+            live = np.flatnonzero(open_[record])
+            # words of full records change nothing; leaving them out each time would cost more than it saves
+            if len(live) <= 0.7 * len(code) or j == depth - 1:
                 record, code, words = record[live], code[live], words[live]
-            if not len(code):
+            if not len(live):
+                code = live
                 break
         at = depth
         step *= 2
@@ -213,8 +218,8 @@ def _counted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[w, others], np.r_[n[there], m]
 
 
-def common_words(texts: DataFrame, share: float = COMMON) -> DataFrame:
-    """``word``: the packed words that occur ``share`` times the number of rows or more, all rows counted.
+def common_words(texts: DataFrame, share: float = COMMON) -> tuple[DataFrame, int]:
+    """``word``: the packed words that occur ``share`` times the number of rows or more, all rows counted; and that number.
 
     Each task adds up its own rows first, so at most one row per distinct word leaves it.
     """
@@ -231,31 +236,124 @@ def common_words(texts: DataFrame, share: float = COMMON) -> DataFrame:
     counted = texts.mapInArrow(count, "word long, n long, whole boolean").groupBy("whole", "word").agg(F.sum("n").alias("n"))
     counted = materialise(counted, "words")
     total = counted.filter("whole").agg(F.sum("n")).first()[0] or 0
-    return counted.filter("not whole").filter(F.col("n") >= max(share * total, 2)).select("word")
-
+    return counted.filter("not whole").filter(F.col("n") >= max(share * total, 2)).select("word"), total
+
+
+#: Bucket rows that a task gathers before it passes them on, those of a range of buckets on average at most, and those
+#: of one row of the shuffle at most.
+GATHERED, RANGE, PACKED = 1 << 20, 1 << 17, 128
+
+
+def _gathered(rows: Iterator[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+    """``range, slots, rests``: slots and rests packed by the buckets' upper ``bits``, copies within a gathering left out."""
+    held, n = [], 0
+
+    def packed() -> pa.RecordBatch:
+        slot, rest = (np.concatenate(x) for x in zip(*held))
+        slot, rest = _in_order(slot, rest)
+        of = (slot.view(_U) >> _U(64 - bits)).astype(np.int32)
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        size = np.diff(np.r_[first, len(of)])
+        pieces = -(-size // PACKED)
+        first = np.repeat(first, pieces) + PACKED * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        off = np.r_[first, len(of)].astype(np.int32)
+        blobs = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(off * np.int32(x.itemsize)), pa.py_buffer(np.ascontiguousarray(x))]) for x in (slot, rest)]
+        return pa.RecordBatch.from_arrays([pa.array(of[first]), *blobs], ["range", "slots", "rests"])
+
+    for slot, rest in rows:
+        # a long text has many bands: the gathering is passed on before it grows beyond its size
+        for i in range(0, len(slot), GATHERED):
+            part = slot[i : i + GATHERED], rest[i : i + GATHERED]
+            if n and n + len(part[0]) > GATHERED:
+                yield packed()
+                held, n = [], 0
+            held.append(part)
+            n += len(part[0])
+    if n:
+        yield packed()
+
+
+def _in_order(slot: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by slot, copies that stand together left out."""
+    order = np.argsort(slot)
+    slot, rest = slot[order], rest[order]
+    fresh = np.r_[True, (slot[1:] != slot[:-1]) | (rest[1:] != rest[:-1])][: len(slot)]
+    return slot[fresh], rest[fresh]
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column, and where each row's begin and end."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind), (off - off[0]) // np.dtype(kind).itemsize
+
+
+def _shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``slot, rest`` in order, from packed rows sorted by range: only of buckets that have several rows.
+
+    One range is held at a time; when it grows its copies are left out.
+    """
+    slots, rests, n, most, at = [], [], 0, GATHERED, None
 
-def bucket_rows(texts: DataFrame, common: np.ndarray, threshold: float = 0.5) -> DataFrame:
-    """``slot, rest`` for every band of every text of ``ident, text``.
+    def settled() -> Iterator[pa.RecordBatch]:
+        slot, rest = _in_order(np.concatenate(slots), np.concatenate(rests))
+        bucket = slot >> 16
+        same = bucket[1:] == bucket[:-1]
+        several = np.r_[same, False] | np.r_[False, same]
+        slot, rest = slot[several], rest[several]
+        for i in range(0, len(slot), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(slot[i : i + 10_000]), pa.array(rest[i : i + 10_000])], ["slot", "rest"])
 
-    A bucket has 48 bits and an ident 40; ``slot`` is the bucket and the ident's upper 16 bits,
-    ``rest`` its lower 24, so that a row takes few bytes in the shuffle. Chance collisions of
-    either only cost a comparison.
+    for b in batches:
+        if not b.num_rows:
+            continue
+        of = b.column(0).to_numpy()
+        (slot, off), (rest, _) = _unpacked(b.column(1), np.int64), _unpacked(b.column(2), np.int32)
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        for x, y in zip(first.tolist(), [*first[1:].tolist(), len(of)]):
+            if n and of[x] != at:
+                yield from settled()
+                slots, rests, n = [], [], 0
+            at = of[x]
+            # copied, so that a batch isn't kept for the rows of its last range
+            slots.append(slot[off[x] : off[y]].copy())
+            rests.append(rest[off[x] : off[y]].copy())
+            n += int(off[y] - off[x])
+            if n > most:
+                one = _in_order(np.concatenate(slots), np.concatenate(rests))
+                slots, rests, n = [one[0]], [one[1]], len(one[0])
+                most = max(most, 2 * n)
+    if n:
+        yield from settled()
+
+
+def bucket_rows(texts: DataFrame, common: np.ndarray, total: int, threshold: float = 0.5) -> DataFrame:
+    """``range, slots, rests``: a slot and a rest for every band of every text of ``ident, text``, of which there are ``total``.
+
+    A bucket has 48 bits and an ident 40; a slot is the bucket and the ident's upper 16 bits,
+    a rest its lower 24. Chance collisions of either only cost a comparison. Rows whose buckets are in
+    one range are packed together, so that few rows go through the shuffle and are sorted there; a
+    range is sorted by the task that reads it.
 
     Bands come in blocks of as many as a record without common words needs, each block with
     registers of its own; a record takes the first bands it needs of as many blocks.
     """
     frozen = np.sort(common.view(_U))
     base = int(bands_for(threshold, 0.0))
+    # texts have somewhat more bands than base
+    bits = max(1, min(30, int(np.ceil(np.log2(max(1, total * 2 * base / RANGE))))))
+    frozen_code, frozen_usual = small_code(frozen)
+    is_rare = np.ones(1 << 2 * WORD, bool)
+    is_rare[frozen_code[frozen_usual]] = False
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for b in _slices(batches, 4000):
             ids = b.column(0).to_numpy()
             words, record, count = _words_of(b.column(1))
-            if len(frozen):
-                near = np.minimum(np.searchsorted(frozen, words), len(frozen) - 1)
-                rare = frozen[near] != words
-            else:
-                rare = np.ones(len(words), bool)
+            code, usual = small_code(words)
+            rare = is_rare[code]
+            if not usual.all():
+                rare[~usual] = ~np.isin(words[~usual], frozen)
             left = np.bincount(record[rare], minlength=len(ids))
             share = 1 - left / np.maximum(count, 1)
             need = np.where(left > 0, bands_for(threshold, share), 0)
@@ -267,7 +365,7 @@ def bucket_rows(texts: DataFrame, common: np.ndarray, threshold: float = 0.5) ->
                 if not sel.any():
                     return
                 rank = np.cumsum(who) - 1
-                k = band_keys(signatures(words[sel], rank[record[sel]], int(who.sum()), ROWS * base, block=block), salt)
+                k = band_keys(signatures(words[sel], rank[record[sel]], int(who.sum()), ROWS * base, block=block, coded=(code[sel], usual[sel])), salt)
                 wanted = np.arange(base) < most[who][:, None]
                 keys.append(k[wanted])
                 owners.append(np.repeat(ids[who], wanted.sum(axis=1)))
@@ -278,9 +376,9 @@ def bucket_rows(texts: DataFrame, common: np.ndarray, threshold: float = 0.5) ->
             if keys:
                 k, who = np.concatenate(keys), np.concatenate(owners)
                 slot = (k >> _U(16) << _U(16)).view(np.int64) | (who >> 24)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((who & 0xFFFFFF).astype(np.int32))], ["slot", "rest"])
+                yield slot, (who & 0xFFFFFF).astype(np.int32)
 
-    return texts.mapInArrow(run, "slot long, rest int")
+    return texts.mapInArrow(lambda batches: _gathered(rows(batches), bits), "range int, slots binary, rests binary")
 
 
 def _rows(rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -407,10 +505,11 @@ def similar_texts(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     ident = F.col("h1").bitwiseAND(F.lit((1 << 40) - 1))
     texts = rows.filter(F.length("text") >= WORD).select(ident.alias("ident"), "text", "h1", "h2")
     # at most 1 / COMMON times the words of a record: bounded whatever the data
-    frozen = np.array([r.word for r in common_words(texts.select("text")).collect()], np.int64)
-    buckets = bucket_rows(texts.select("ident", "text"), frozen, threshold)
-    placed = buckets.repartition(F.shiftright("slot", 16)).sortWithinPartitions("slot")
-    met = materialise(placed.mapInArrow(_pairs_in_buckets, "rank long, a long, b long").distinct(), "met")
+    common, total = common_words(texts.select("text"))
+    frozen = np.array([r.word for r in common.collect()], np.int64)
+    buckets = bucket_rows(texts.select("ident", "text"), frozen, total, threshold)
+    placed = buckets.repartition("range").sortWithinPartitions("range")
+    met = materialise(placed.mapInArrow(lambda b: _pairs_in_buckets(_shared_buckets(b)), "rank long, a long, b long").distinct(), "met")
     pairs = met.filter("rank = -1").select("a", "b").unionByName(_pairs_between_blocks(met))
     pairs = materialise(pairs.distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("ident")).distinct()

@@ -145,3 +145,30 @@ def test_components(spark):
     df = spark.createDataFrame(chain + star + [(5, 4), (7, 7), (None, 3)], "a long, b long")
     got = dict(rows(components.components(df, "a", "b")))
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(80)}
+
+
+@pytest.mark.parametrize("gathered", [50, 1 << 20])
+def test_packed_buckets(monkeypatch, gathered):
+    """Packed rows go through the shuffle as few rows, and come back sorted: each that shares its bucket, once."""
+    monkeypatch.setattr(neardup, "GATHERED", gathered)
+    monkeypatch.setattr(neardup, "PACKED", 7)
+    monkeypatch.setattr(neardup, "RANGE", 20)
+    rng = np.random.default_rng(3)
+    buckets = np.r_[rng.integers(-(2**47), 2**47, 300), np.repeat(rng.integers(-(2**47), 2**47, 40), 3), np.repeat(rng.integers(-(2**47), 2**47, 1), 200)]
+    slot = buckets << 16 | rng.integers(0, 3, len(buckets))
+    rest = np.arange(len(buckets), dtype=np.int32)
+    rest[-100:] = rest[-1]  # copies
+    slot[-100:] = slot[-1]
+    order = rng.permutation(len(slot))
+    pieces = [(slot[o], rest[o]) for o in np.array_split(order, 9)]
+    packed = pa.Table.from_batches(list(neardup._gathered(iter([*pieces, (slot[:0], rest[:0])]), 4)))
+    assert max(len(x) for x in packed.column("slots").to_pylist()) <= 7 * 8
+    for size in (3, 10_000):
+        got = [(s, r) for b in neardup._shared_buckets(iter(packed.sort_by("range").to_batches(max_chunksize=size))) for s, r in zip(*(c.to_pylist() for c in b.columns))]
+        assert [s for s, _ in got] == sorted((s for s, _ in got), key=lambda s: s & (1 << 64) - 1)
+        n = {}
+        for s, r in {(s, r) for s, r in zip(slot.tolist(), rest.tolist())}:
+            n.setdefault(s >> 16, set()).add((s, r))
+        want = {x for group in n.values() if len(group) > 1 for x in group}
+        assert set(got) == want and len(got) <= len(want) + 100
+    assert list(neardup._gathered(iter([]), 4)) == [] and list(neardup._shared_buckets(iter([]))) == []

@@ -32,7 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,26 +94,39 @@ def _quote_depths(x: str, marks: list[int]) -> list[bool]:
 def _last_word(x: str, i: int) -> str:
     """The word that ends at i, put together if broken."""
     y = x[max(0, i - 40) : i]
-    y = (_BROKEN.sub("", y) if "\n" in y else y).rstrip("\u00a0 ").split()
+    k = y.rfind("\n")
+    if k >= 0:  # a line's words end with it unless one is broken
+        line = y[k + 1 :]
+        y = line if k and y[k - 1] not in SIGNS and line.strip() else _BROKEN.sub("", y)
+    y = y.rsplit(None, 1)
     return y[-1].lstrip(_LEAD) if y else ""
 
 
 def _first_word(x: str, i: int) -> str:
     """The word that begins behind i."""
-    y = x[i : i + 60]
-    if "\n" in y:
-        y = _BROKEN.sub("", y)
-    m = _NEXT_WORD.search(y)
+    y, m = x, _NEXT_WORD.search(x, i, i + 60)
     if m is None:
         return ""
+    if x[m.end() : m.end() + 1] in SIGNS:  # perhaps broken
+        y = _BROKEN.sub("", x[i : i + 60])
+        m = _NEXT_WORD.search(y)
+        end = len(y)
+    else:
+        end = min(len(x), i + 60)
     # an initial isn't a word
-    return m[0] + "." if len(m[0]) == 1 and y[m.end() : m.end() + 1] == "." else m[0]
+    return m[0] + "." if len(m[0]) == 1 and m.end() < end and y[m.end()] == "." else m[0]
 
 
 def _type(word: str) -> str:
     return _DIGITS.sub("#", word.lower())
 
 
+@cache
+def _beside(c: str) -> str:
+    return "digit" if c.isdigit() else "upper" if c.isupper() else "letter" if c.isalpha() else "other"
+
+
+@cache
 def _next(c: str) -> str:
     if not c:
         return "end"
@@ -128,11 +141,11 @@ def _next(c: str) -> str:
     return "letter" if c.isalpha() else "punct"
 
 
-@dataclass
+@dataclass(slots=True)
 class Candidate:
     """``at`` is the last character of the sentence that would end here; ``kind`` names the mark, ``after`` what follows.
 
-    ``word`` is the word before a full stop, ``following`` the next one or the number that follows at once; ``settled`` is the tag that the
+    ``word`` is the word before a full stop, ``following`` the capital word or the number behind it; ``settled`` is the tag that the
     orthography shows, None where it doesn't. ``digit`` tells of a digit beside it, and ``bare`` that it is
     a mark alone, which a script without punctuation would write as a blank. ``code`` stands for the context.
     """
@@ -151,19 +164,26 @@ class Candidate:
     def context(self) -> tuple[str, ...]:
         return _context(self.code)
 
-    @property
-    def _numbered(self) -> bool:
-        return self.kind == "stop" and self.after == "digit" and self.settled is None
-
     def described(self, unspaced: bool) -> str:
         """All that the lexicon and the model see of it, in one line; words have no white space."""
-        return f"{self.code}\t{_TAGS[self.settled]}{self.digit:d}{self.bare:d}{unspaced:d}\t{self.word}\t{self.following if self.after == 'upper' or self._numbered else ''}"
+        return f"{_head(self.code, self.settled, self.digit, self.bare, unspaced)}{self.word}\t{self.following}"
 
 
 _TAGS = {True: "T", False: "F", None: "-"}
 _TAG_OF = {t: s for s, t in _TAGS.items()}
 
 
+@cache
+def _head(code: str, settled: bool | None, digit: bool, bare: bool, unspaced: bool) -> str:
+    return f"{code}\t{_TAGS[settled]}{digit:d}{bare:d}{unspaced:d}\t"
+
+
+@cache
+def _read_head(code: str, flags: str) -> tuple:
+    kind, after = code.split(",", 2)[:2] if code else ("blank", "letter")
+    return kind, after, _TAG_OF[flags[0]], flags[1] == "1", flags[2] == "1", flags[3] == "1"
+
+
 @cache
 def _context(code: str) -> tuple[str, ...]:
     if not code:
@@ -179,8 +199,8 @@ def _context(code: str) -> tuple[str, ...]:
 def restored(line: str) -> tuple[Candidate, bool]:
     """The candidate that was described, its place unknown, and whether its stream is unspaced."""
     code, flags, word, following = line.split("\t")
-    kind, after = code.split(",", 2)[:2] if code else ("blank", "letter")
-    return Candidate(-1, kind, after, code, _TAG_OF[flags[0]], word, following, flags[1] == "1", flags[2] == "1"), flags[3] == "1"
+    kind, after, settled, digit, bare, unspaced = _read_head(code, flags)
+    return Candidate(-1, kind, after, code, settled, word, following, digit, bare), unspaced
 
 
 @dataclass
@@ -210,11 +230,9 @@ def candidates(x: str) -> list[Candidate]:
     out = []
     for m, quoted in zip(found, inside):
         (mark, close), (start, end) = m.groups(), m.span()
-        kind = "stop" if mark == "." else "cjk" if mark[-1] in "。！？" else "danda" if mark[-1] == "।" else "dots" if "…" in mark or mark.startswith("..") else "stop" if mark[-1] == "." else "strong"
-        if kind == "cjk" and "“" in close:  # opens there, while it closes behind a Latin terminator
+        if close and "“" in close and mark[-1] in "。！？":  # opens there, while it closes behind a Latin terminator
             close = close[: close.index("“")]
             end = start + len(mark) + len(close)
-        outer = "none" if not close else "outer" if _closes(close) else "inner"
         c = x[end : end + 1]
         gap = not c or c.isspace()
         if gap:
@@ -223,26 +241,38 @@ def candidates(x: str) -> list[Candidate]:
                 after = _NORMAL.search(x, end)
                 c = after[0] if after else ""
         nxt = _next(c)
-        wide = nxt == "letter" or kind == "cjk" or (mark[0] == "…" and not gap)
-        ellipsis = kind == "dots" and wide and len(mark) >= 2 and "…" in mark
-        open_ = quoted and outer != "outer"
-        within = not gap and not wide and not (nxt == "opens" and kind == "cjk")
-        caseless = outer == "outer" and nxt == "letter"
-        if nxt == "end":
-            settled = None
-        elif ellipsis or open_ or within or caseless or nxt in ("lower", "punct") or (kind == "stop" and nxt == "letter"):
-            settled = False
-        else:
-            settled = True if kind != "stop" else None
-        speech = outer == "outer" and (c == "と" or (nxt == "letter" and _speech_follows(x, end)))
+        speech = bool(close) and _closes(close) and (c == "と" or (nxt == "letter" and _speech_follows(x, end)))
         before = x[start - 1] if start else ""
-        beside = "digit" if before.isdigit() else "upper" if before.isupper() else "letter" if before.isalpha() else "other"
-        code = f"{kind},{nxt},{gap:d},{outer},{open_:d},{within:d},{speech:d},{ellipsis:d},{beside}"
-        stop = kind == "stop"
-        out.append(Candidate(end - 1, kind, nxt, code, settled, _last_word(x, start) if stop else "", _DIGITS.search(x + "0", end)[0] if stop and nxt == "digit" else _first_word(x, end) if stop or kind == "strong" else "", before.isdigit() or c.isdigit(), outer == "none" and not open_ and not ellipsis))
+        kind, code, settled, bare = _judged(mark, close, nxt, gap, quoted, speech, _beside(before))
+        stop, following = kind == "stop", ""
+        if nxt == "upper" and (stop or kind == "strong"):
+            following = _first_word(x, end)
+        elif stop and nxt == "digit" and settled is None:
+            following = _DIGITS.search(x, end)[0] if c.isdecimal() else c
+        out.append(Candidate(end - 1, kind, nxt, code, settled, _last_word(x, start) if stop else "", following, before.isdigit() or c.isdigit(), bare))
     return out
 
 
+@lru_cache(1 << 16)
+def _judged(mark: str, close: str, nxt: str, gap: bool, quoted: bool, speech: bool, beside: str) -> tuple[str, str, bool | None, bool]:
+    """(kind, code, settled, bare) of a mark with its closing marks, by what stands beside it."""
+    kind = "cjk" if mark[-1] in "。！？" else "danda" if mark[-1] == "।" else "dots" if "…" in mark or mark.startswith("..") else "stop" if mark[-1] == "." else "strong"
+    outer = "none" if not close else "outer" if _closes(close) else "inner"
+    wide = nxt == "letter" or kind == "cjk" or (mark[0] == "…" and not gap)
+    ellipsis = kind == "dots" and wide and len(mark) >= 2 and "…" in mark
+    open_ = quoted and outer != "outer"
+    within = not gap and not wide and not (nxt == "opens" and kind == "cjk")
+    caseless = outer == "outer" and nxt == "letter"
+    if nxt == "end":
+        settled = None
+    elif ellipsis or open_ or within or caseless or nxt in ("lower", "punct") or (kind == "stop" and nxt == "letter"):
+        settled = False
+    else:
+        settled = True if kind != "stop" else None
+    code = f"{kind},{nxt},{gap:d},{outer},{open_:d},{within:d},{speech:d},{ellipsis:d},{beside}"
+    return kind, code, settled, outer == "none" and not open_ and not ellipsis
+
+
 def _closes(close: str) -> bool:
     """Whether closing marks end an outer quotation."""
     return not _CLOSING.isdisjoint(close)
@@ -417,13 +447,12 @@ def _unspaced(x: str) -> bool:
 
 def _chains(cs: list[Candidate], lines: list[str]) -> list[str]:
     """The line of each candidate and those of the ones that stand near before it, the nearest first."""
-    out = []
-    for i, c in enumerate(cs):
-        chain, j = lines[i], i - 1
-        while j >= 0 and c.at - cs[j].at <= NEAR:
-            chain += "\n" + lines[j]
+    out = list(lines)
+    for i in range(1, len(cs)):
+        j = i - 1
+        while j >= 0 and cs[i].at - cs[j].at <= NEAR:
+            out[i] += "\n" + lines[j]
             j -= 1
-        out.append(chain)
     return out
 
 

@@ -283,7 +283,8 @@ def _in_order(slot: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of a binary column, and where each row's begin and end."""
-    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    column = column.cast(pa.large_binary())
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind), (off - off[0]) // np.dtype(kind).itemsize
 
